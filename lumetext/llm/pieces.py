@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import islice
 
 import numpy as np
 
@@ -33,10 +34,9 @@ class TokenizerPieces:
         self.library = Tokenizer.from_file(path)
         self.limit = limit
         self.known: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
         zero = self._ids(["0"])[0]
         vocabulary = self.library.get_vocab()
-        self.keeps_space = any(k.startswith("Ġ") for k in vocabulary)
+        self.keeps_space = self._ids([" a"]) != self._ids(["a"])
         self.separator = zero[0] if len(zero) == 1 else None
         self.starts = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         for k, i in vocabulary.items():
@@ -47,7 +47,7 @@ class TokenizerPieces:
 
     def _learn(self, new: list[str]) -> None:
         if len(self.known) + len(new) > self.limit:
-            self.known.clear()
+            self.known = dict(islice(self.known.items(), self.limit // 2))  # common words are met first
         easy, hard = [], []
         for w in new:
             if self.keeps_space:
@@ -58,25 +58,31 @@ class TokenizerPieces:
             some = easy[a : a + _BATCH]
             if self.keeps_space:
                 ids = np.array(self._ids([" " + " ".join(some)])[0], dtype="<u4")
-                cuts = np.flatnonzero(self.starts[ids])
-                parts = np.split(ids, cuts[1:])
+                cuts = np.flatnonzero(self.starts[ids]) * 4
+                begin, end = cuts.tolist(), cuts[1:].tolist()
             else:
                 ids = np.array(self._ids([" 0 ".join(some)])[0], dtype="<u4")
-                cuts = np.flatnonzero(ids == self.separator)
-                parts = np.split(ids, cuts)
-                parts = parts[:1] + [p[1:] for p in parts[1:]]
-            if len(parts) != len(some):
+                cuts = np.flatnonzero(ids == self.separator) * 4
+                begin, end = [0, *(cuts + 4).tolist()], cuts.tolist()
+            if len(begin) != len(some):
                 hard += some
                 continue
-            self.known.update(zip(some, [p.tobytes() for p in parts], strict=True))
+            raw = ids.tobytes()
+            self.known.update(zip(some, [raw[a:b] for a, b in zip(begin, [*end, len(raw)], strict=True)], strict=True))
         for a in range(0, len(hard), _BATCH):
             some = hard[a : a + _BATCH]
             for w, ids in zip(some, self._ids([" " + w for w in some] if self.keeps_space else some), strict=True):
                 self.known[w] = np.array(ids, dtype="<u4").tobytes()
 
+    def _heads(self, texts: list[str]) -> dict[str, bytes]:
+        """The ids of what stands before the first boundary of each text."""
+        first = {(t.split(" ", 1) if not _SPACE_THEN_BLANK.search(t) else _SAFE_SPACE.split(t, maxsplit=1))[0] for t in texts if _SPECIAL not in t}
+        return {w: np.array(ids, dtype="<u4").tobytes() for w, ids in zip(first, self._ids(list(first)), strict=True)} if first else {}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list = [None] * len(texts)
         pieces: list = [None] * len(texts)
+        heads = self._heads(texts) if self.keeps_space else {}
         missing: set[str] = set()
         again = []
         get = self.known.get
@@ -85,14 +91,7 @@ class TokenizerPieces:
                 out[i] = np.array(self._ids([text])[0], dtype="<u4").tobytes()
                 continue
             words = text.split(" ") if not self.keeps_space or not _SPACE_THEN_BLANK.search(text) else _SAFE_SPACE.split(text)
-            head = b""
-            if self.keeps_space:
-                w = words.pop(0)
-                head = self.first.get(w)
-                if head is None:
-                    if len(self.first) >= self.limit // 10:
-                        self.first.clear()
-                    head = self.first[w] = np.array(self._ids([w])[0], dtype="<u4").tobytes()
+            head = heads.get(words.pop(0)) if self.keeps_space else b""
             got = list(map(get, words))
             if None in got:
                 missing.update(w for w, g in zip(words, got, strict=True) if g is None)
@@ -101,8 +100,7 @@ class TokenizerPieces:
             else:
                 out[i] = head + b"".join(got)
         if missing:
-            overflow = len(self.known) + len(missing) > self.limit
-            if overflow:
+            if len(self.known) + len(missing) > self.limit:
                 for i in again:
                     missing.update(pieces[i][0])
             self._learn(list(missing))
