@@ -194,7 +194,7 @@ def fit(rows: DataFrame, per_language: int = 300) -> Hierarchy:
     return train(x, [r["lang"] for r in got])
 
 
-def predict(docs: DataFrame, model: Hierarchy, extra: list[str] | None = None) -> DataFrame:
+def predict(docs: DataFrame, model: Hierarchy) -> DataFrame:
     """doc_id, lang_pred, score of every row of ``docs``."""
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,3 +213,16 @@ def identify(docs: DataFrame, per_language: int = 300) -> DataFrame:
     """Learns from the rows that aren't held out and predicts all: doc_id, held_out, lang_pred, score."""
     rest = F.coalesce(held_out(1, 3), F.lit(False))
     return predict(docs, fit(docs.where(~rest), per_language)).select("doc_id", rest.alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, per_language: int = 300) -> DataFrame:
+    """The rows of ``docs``, all columns, that are not ``und``; learns from all that name their language."""
+    model = fit(docs, per_language)
+
+    def identified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names, _ = model.predict(pc.fill_null(b.column(b.schema.get_field_index("text")).cast(pa.string()), ""))
+            yield b.filter(pa.array([x != UND for x in names], pa.bool_()))
+
+    # with nothing to learn from, no language can be told and nothing is rejected for that
+    return docs.mapInArrow(identified, docs.schema) if model.languages else docs

@@ -35,8 +35,8 @@ from .words import ALPHANUMERIC_GAPS, hashes, mix, spans, text_buffer, windows
 BASE = np.uint64(0xA0761D6478BD642F)
 ORDERS = 4
 _STEP = 1 << 20
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("buckets", pa.list_(pa.int64()))])
-_SKETCH_SQL = "doc_id long, h1 long, h2 long, buckets array<long>"
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("buckets", pa.list_(pa.int64()))])
+_SKETCH_SQL = "doc_id long, row_key long, h1 long, h2 long, buckets array<long>"
 _MAX = np.uint64(2**64 - 1)
 
 
@@ -161,7 +161,7 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 
 
 def sketches(docs: DataFrame, k: int, samples: int) -> DataFrame:
-    """doc_id, h1, h2 (hash of the word sequence) and the buckets of every row."""
+    """doc_id, row_key (hash of doc_id and text), h1, h2 (hash of the word sequence) and the buckets of every row."""
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,9 +181,9 @@ def sketches(docs: DataFrame, k: int, samples: int) -> DataFrame:
                 found = order_min_hash(grams, bounds, samples).T.astype(np.int64, casting="unsafe", copy=False)
                 full = np.diff(bounds) > 0
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(full * samples)]).astype(np.int32), pa.array(np.ascontiguousarray(found).reshape(-1).view(np.int64)))
-                yield record_batch(_SKETCH, [part.column(0), digests[:, 0], digests[:, 1], lists])
+                yield record_batch(_SKETCH, [part.column(0), part.column(2), digests[:, 0], digests[:, 1], lists])
 
-    return docs.mapInArrow(sketched, _SKETCH_SQL)
+    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key")).mapInArrow(sketched, _SKETCH_SQL)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -240,11 +240,24 @@ def links(docs: DataFrame, reps: DataFrame, similarity: float, spread: int = 32)
     return members.join(heads, ["leader", "share"]).select("leader", "member", "head", "z").mapInArrow(verified, "a long, b long")
 
 
-def classes(docs: DataFrame, k: int = 5, samples: int = 24, similarity: float = 0.8) -> DataFrame:
-    """doc_id and class_id of every row of ``docs``."""
-    docs = id_and_text(docs)
+def _classed(docs: DataFrame, k: int, samples: int, similarity: float) -> DataFrame:
     rows = cut(sketches(docs, k, samples))
     reps = cut(rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("buckets").alias("buckets")))
     labels = components(links(docs, reps.where("rep is not null").select("rep", "buckets"), similarity))
     named = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", F.coalesce("label", "rep").alias("class_id"))
-    return rows.select("doc_id", "h1", "h2").join(named, ["h1", "h2"]).select("doc_id", "class_id")
+    return rows.select("doc_id", "row_key", "h1", "h2").join(named, ["h1", "h2"])
+
+
+def classes(docs: DataFrame, k: int = 5, samples: int = 24, similarity: float = 0.8) -> DataFrame:
+    """doc_id and class_id of every row of ``docs``."""
+    return _classed(id_and_text(docs), k, samples, similarity).select("doc_id", "class_id")
+
+
+def keep_one(docs: DataFrame, k: int = 5, samples: int = 24, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay when one of each class does: the one of least doc_id."""
+    classed = cut(_classed(id_and_text(docs), k, samples, similarity).select("doc_id", "row_key", "class_id", F.when(F.col("class_id").isNull(), F.xxhash64("h1", "h2")).alias("alone")))
+    first = cut(classed.groupBy("class_id", "alone").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("least")).select(F.col("least.row_key").alias("row_key")))
+    repeated = classed.groupBy("row_key").count().where("count > 1").join(first, "row_key", "left_semi")
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    kept = docs.join(first.select(F.col("row_key").alias("kept_row_key")), key == F.col("kept_row_key"), "left_semi")
+    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])

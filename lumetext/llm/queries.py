@@ -28,7 +28,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.remove_repeats(read(spark, sf_dir, "documents"), window=35, with_text=False).drop("text")
+    return substrings.remove_repeats(read(spark, sf_dir, "documents"), window=35).select("row.doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,15 +24,15 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import id_and_text, partitions, record_batch
+from .common import partitions, record_batch
 from .words import hashes, spans, text_buffer, windows
 
 BASE = np.uint64(0xD1342543DE82EF95)
 _PACKED = pa.schema([("key", pa.int32()), ("chunk", pa.int64()), ("table", pa.bool_()), ("payload", pa.binary())])
 _PACKED_SQL = "key int, chunk long, table boolean, payload binary"
 _SPANS = pa.schema([("row_key", pa.int64()), ("id_key", pa.int64()), ("spans", pa.binary())])
-_KEPT = "doc_id long, text string, n_words long, n_removed long, kept_sha256 string"
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -185,20 +185,25 @@ def repeated_spans(docs: DataFrame, window: int, chunk_bytes: int = 16_000_000)
     return found.dropDuplicates(["row_key", "id_key"])  # equal rows have equal spans
 
 
-def remove_repeats(docs: DataFrame, window: int = 35, with_text: bool = True) -> DataFrame:
-    """doc_id, text (the kept words, joined by one space; null unless ``with_text``), n_words, n_removed, kept_sha256."""
-    keyed = id_and_text(docs).withColumns({"row_key": F.xxhash64("doc_id", "text"), "id_key": F.coalesce("doc_id", F.lit(0).cast("long"))})
+def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
+    """Every row of ``docs`` as a struct ``row``, with kept (its text without repeats), n_words, n_removed, kept_sha256."""
+    row = F.struct(*[F.lit(None).cast(docs.schema[c].dataType).alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    doc_id = F.col("doc_id").cast("long")
+    keyed = docs.select(F.xxhash64(doc_id, text).alias("row_key"), F.coalesce(doc_id, F.lit(0).cast("long")).alias("id_key"), row.alias("row"), text.alias("text"))
+    packed_schema = T.StructType([*keyed.schema.fields[:3], T.StructField("z", T.BinaryType())])
+    kept_schema = T.StructType([keyed.schema.fields[2], *T._parse_datatype_string("kept string, n_words long, n_removed long, kept_sha256 string").fields])
 
     def shrunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         write = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([write.compress(x.as_buffer()) for x in b.column(3).cast(pa.large_binary())], pa.binary())], ["row_key", "id_key", "doc_id", "z"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([write.compress(x.as_buffer()) for x in b.column(3).cast(pa.large_binary())], pa.binary())], ["row_key", "id_key", "row", "z"])
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = zstandard.ZstdDecompressor()
         for b in batches:
             out = []
-            for doc_id, z, raw in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+            for z, raw in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 words = read.decompress(z).split()
                 n = len(words)
                 if raw is not None:
@@ -208,8 +213,15 @@ def remove_repeats(docs: DataFrame, window: int = 35, with_text: bool = True) ->
                         at = e
                     words = left + words[at:]
                 text = b" ".join(words)
-                out.append((doc_id, text.decode() if with_text else None, n, n - len(words), hashlib.sha256(text).hexdigest()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 5, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "text", "n_words", "n_removed", "kept_sha256"])
+                out.append((text, n, n - len(words), hashlib.sha256(text).hexdigest()))
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True))], ["row", "kept", "n_words", "n_removed", "kept_sha256"])
 
-    texts = keyed.select("row_key", "id_key", "doc_id", "text").mapInArrow(shrunk, "row_key long, id_key long, doc_id long, z binary")
-    return texts.join(repeated_spans(keyed, window), ["row_key", "id_key"], "left").select("doc_id", "z", "spans").mapInArrow(kept, _KEPT)
+    texts = keyed.mapInArrow(shrunk, packed_schema)
+    return texts.join(repeated_spans(keyed, window), ["row_key", "id_key"], "left").select("row", "z", "spans").mapInArrow(kept, kept_schema)
+
+
+def without_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
+    """The rows of ``docs``, all columns, with the kept words as text, and n_chars to match if there is such a column."""
+    changed = {"text": F.col("kept"), "n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return remove_repeats(docs, window).select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
