@@ -1,15 +1,423 @@
-"""Every query of the engine by name, with the SQL that must give the same rows."""
+"""Every query of the engine by name, over the driver's tables, with the SQL that must give the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import distance, hashing, sequence, stemming, text
+from ..operators import highlight, ranking, search, statistics
+from ..operators.dictionary import Dictionary
+from ..operators.index import Index, Preprocessor
+
+STOPWORDS = ("the", "of", "and", "to", "in", "de", "la", "le", "les", "des", "el", "que", "der", "die", "und", "es")
+TERMS = ["ention", "with", "eau", "ing"]
+STEM_TERMS = ["ention", "estion", "eau"]
+PREFIX, SEQUENCE, MISSPELT = "ent", "anan", "enton"
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def register(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def _index(spark: SparkSession, sf_dir: str, stemmed: bool = True) -> Index:
+    return Index.of(_docs(spark, sf_dir), "doc_id", "text", Preprocessor(STOPWORDS, stemmed))
+
+
+def _list(values) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+_RAW = r"raw AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{Nl}\p{No}]+')) AS term FROM documents)"
+_TOK = f"{_RAW}, tok AS (SELECT doc_id, term FROM raw WHERE length(term) >= 2 AND strip_accents(term) NOT IN ({_list(STOPWORDS)}))"
+_POST = f"{_TOK}, post AS (SELECT term, doc_id, count(*) AS tf FROM tok GROUP BY ALL)"
+_VOCAB = f"{_POST}, vocab AS (SELECT term AS form, strip_accents(term) AS key, CAST(sum(tf) AS BIGINT) AS weight FROM post GROUP BY term)"
+_LEN = "dl AS (SELECT d.doc_id, count(t.term) AS dl FROM documents d LEFT JOIN tok t USING (doc_id) GROUP BY d.doc_id), tot AS (SELECT count(*) AS n_docs, CAST(sum(dl) AS BIGINT) AS total_tokens, sum(dl) / count(*) AS avgdl FROM dl)"
+_STEMS = f"{_VOCAB}, {stemming.stem_sql('vocab', 'form')}, spost AS (SELECT stem AS term, doc_id, CAST(sum(tf) AS BIGINT) AS tf FROM post JOIN stems ON post.term = stems.word GROUP BY ALL)"
+
+
+def _bm25_sql(post: str, terms: list[str]) -> str:
+    return f"sc AS (SELECT p.doc_id, sum(ln((n_docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM {post} WHERE term IN ({_list(terms)})) p JOIN dl USING (doc_id), tot GROUP BY p.doc_id)"
+
+
+# Text
+
+
+@_query("SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '[\\p{L}\\p{Nl}\\p{No}]+')) AS BIGINT) AS n FROM documents")
+def tokens_per_doc(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.size(text.tokens(F.col("text"))).cast("long").alias("n"))
+
+
+@_query(f"WITH {_TOK} SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM raw) AS raw_tokens, (SELECT count(*) FROM tok) AS kept_tokens, round(1 - (SELECT count(*) FROM tok) / (SELECT count(*) FROM raw), 9) AS reduction")
+def raw_vs_kept_tokens(spark, sf_dir):
+    return statistics.corpus_figures(_index(spark, sf_dir)).withColumn("reduction", F.round("reduction", 9))
+
+
+@_query("SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[^\\p{L}\\p{N}_\\s]|_', ' ', 'g'), '\\s+', ' ', 'g')) AS plain FROM documents")
+def without_punctuation(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.trim(F.regexp_replace(text.without_punctuation(F.col("text")), r"(?U)\s+", " ")).alias("plain"))
+
+
+@_query(f"WITH {_RAW} SELECT DISTINCT term AS form, strip_accents(term) AS key FROM raw")
+def normalized_forms(spark, sf_dir):
+    return _index(spark, sf_dir).raw_tokens.select(F.col("term").alias("form")).distinct().select("form", text.normalised(F.col("form")).alias("key"))
+
+
+@_query(f"WITH {_VOCAB} SELECT key, count(*) AS forms, min(form) AS first_form, max(form) AS last_form FROM vocab GROUP BY key HAVING count(*) > 1")
+def same_key_forms(spark, sf_dir):
+    return _index(spark, sf_dir).vocabulary.groupBy("key").agg(F.count("*").alias("forms"), F.min("form").alias("first_form"), F.max("form").alias("last_form")).where("forms > 1")
+
+
+# Index
+
+
+@_query(f"WITH {_VOCAB} SELECT form, key, weight FROM vocab")
+def vocab_frequency(spark, sf_dir):
+    return _index(spark, sf_dir).vocabulary
+
+
+@_query(f"WITH {_POST} SELECT term, CAST(sum(tf) AS BIGINT) AS occurrences, count(*) AS df FROM post GROUP BY term ORDER BY occurrences DESC, term LIMIT 12")
+def top_terms(spark, sf_dir):
+    return _index(spark, sf_dir).most_frequent(12, stems=False)
+
+
+@_query(f"WITH {_POST} SELECT term, doc_id, tf FROM post")
+def postings_exact(spark, sf_dir):
+    return _index(spark, sf_dir).post_exact.withColumnRenamed("doc", "doc_id")
+
+
+@_query(f"WITH {_POST} SELECT term, count(*) AS df FROM post GROUP BY term")
+def doc_freq(spark, sf_dir):
+    return _index(spark, sf_dir).document_frequency(stems=False)
+
+
+@_query(f"WITH {_TOK}, {_LEN} SELECT doc_id, dl FROM dl")
+def doc_length(spark, sf_dir):
+    return _index(spark, sf_dir).doc_lengths.withColumnRenamed("doc", "doc_id")
+
+
+@_query(f"WITH {_POST}, {_LEN} SELECT n_docs, total_tokens, round(avgdl, 6) AS avgdl, (SELECT count(DISTINCT term) FROM post) AS terms, (SELECT count(*) FROM post) AS postings FROM tot")
+def index_stats(spark, sf_dir):
+    i = _index(spark, sf_dir)
+    return i.totals.withColumn("avgdl", F.round("avgdl", 6)).crossJoin(F.broadcast(i.size(stems=False)))  # one row
+
+
+@_query(f"WITH {_STEMS} SELECT word, stem FROM stems")
+def rslp_stem(spark, sf_dir):
+    return _index(spark, sf_dir).vocabulary_stems.select(F.col("term").alias("word"), "stem")
+
+
+@_query(f"WITH {_STEMS} SELECT term, doc_id, tf FROM spost")
+def stem_postings(spark, sf_dir):
+    return _index(spark, sf_dir).post_stem.withColumnRenamed("doc", "doc_id")
+
+
+@_query(f"WITH {_STEMS} SELECT count(*) AS forms, count(DISTINCT stem) AS stems, round(count(*) / count(DISTINCT stem), 9) AS forms_per_stem FROM stems")
+def stem_effect(spark, sf_dir):
+    return statistics.stemming_effect(_index(spark, sf_dir)).withColumn("forms_per_stem", F.round("forms_per_stem", 9))
+
+
+@_query(f"WITH {_STEMS}, asked AS (SELECT word AS term, stem FROM stems WHERE word IN ({_list(TERMS)})) SELECT a.term, (SELECT count(*) FROM post p WHERE p.term = a.term) AS exact, (SELECT count(*) FROM spost p WHERE p.term = a.stem) AS stemmed, (SELECT count(*) FROM spost p WHERE p.term = a.stem) - (SELECT count(*) FROM post p WHERE p.term = a.term) AS gain FROM asked a")
+def stem_coverage_gain(spark, sf_dir):
+    i = _index(spark, sf_dir)
+    return statistics.coverage_gain(i, TERMS).join(i.vocabulary.select(F.col("form").alias("term")), "term", "left_semi")
+
+
+@_query("SELECT d.doc_id, octet_length(encode(text)) AS bytes, (SELECT count(*) FROM (SELECT unnest(regexp_extract_all(lower(d.text), '[\\p{L}\\p{Nl}\\p{No}]+')) AS t) WHERE length(t) >= 2 AND strip_accents(t) NOT IN (" + _list(STOPWORDS) + ")) AS tokens FROM documents d")
+def doc_summary(spark, sf_dir):
+    files = _docs(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.octet_length("text").cast("long").alias("bytes"))
+    return statistics.document_summary(files, _index(spark, sf_dir)).withColumnRenamed("doc", "doc_id")
+
+
+# Ranking
+
+
+def _scores(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@_query(f"WITH {_POST}, {_LEN}, {_bm25_sql('post', TERMS[:1])} SELECT doc_id, round(score, 6) AS score FROM sc")
+def bm25_single(spark, sf_dir):
+    return _scores(ranking.bm25(_index(spark, sf_dir), TERMS[:1], stems=False))
+
+
+@_query(f"WITH {_POST}, {_LEN}, {_bm25_sql('post', TERMS)} SELECT doc_id, round(score, 6) AS score FROM sc")
+def bm25_multi(spark, sf_dir):
+    return _scores(ranking.bm25(_index(spark, sf_dir), TERMS, stems=False))
+
+
+@_query(f"WITH {_POST}, {_LEN} SELECT p.doc_id, round(sum((1 + log10(tf)) * log10(n_docs / df)), 6) AS score FROM (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM post WHERE term IN ({_list(TERMS)})) p, tot GROUP BY p.doc_id")
+def tfidf_multi(spark, sf_dir):
+    return _scores(ranking.tfidf(_index(spark, sf_dir), TERMS, stems=False))
+
+
+@_query(f"WITH {_POST}, {_LEN}, {_bm25_sql('post', TERMS)}, ti AS (SELECT p.doc_id, sum((1 + log10(tf)) * log10(n_docs / df)) AS score FROM (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM post WHERE term IN ({_list(TERMS)})) p, tot GROUP BY p.doc_id), a AS (SELECT CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id FROM sc), b AS (SELECT CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id FROM ti) SELECT a.rank, a.doc_id AS bm25_doc, da.dl AS bm25_length, b.doc_id AS tfidf_doc, db.dl AS tfidf_length FROM a JOIN b USING (rank) JOIN dl da ON da.doc_id = a.doc_id JOIN dl db ON db.doc_id = b.doc_id WHERE a.rank <= 5")
+def rank_compare(spark, sf_dir):
+    return ranking.compared(_index(spark, sf_dir), TERMS, 5, stems=False)
+
+
+# Questions by words
+
+
+def _stems(terms=STEM_TERMS) -> list[str]:
+    return list(dict.fromkeys(stemming.stem_of(t) for t in terms))
+
+
+@_query(f"WITH {_STEMS} SELECT doc_id, count(*) AS coverage, CAST(sum(tf) AS BIGINT) AS frequency FROM spost WHERE term IN ({_list(_stems())}) GROUP BY doc_id")
+def word_any_coverage(spark, sf_dir):
+    return search.word_hits(_index(spark, sf_dir), _stems()).select(F.col("doc").alias("doc_id"), "coverage", "frequency")
+
+
+@_query(f"WITH {_STEMS} SELECT doc_id FROM spost WHERE term IN ({_list(_stems()[:2])}) GROUP BY doc_id HAVING count(*) = {len(_stems()[:2])}")
+def word_all_terms(spark, sf_dir):
+    return search.docs_with_all(_index(spark, sf_dir), _stems()[:2]).withColumnRenamed("doc", "doc_id")
+
+
+@_query(f"WITH {_STEMS}, {_LEN}, {_bm25_sql('spost', _stems())}, c AS (SELECT doc_id, count(*) AS coverage FROM spost WHERE term IN ({_list(_stems())}) GROUP BY doc_id) SELECT doc_id, coverage, round(score, 6) AS score FROM c JOIN sc USING (doc_id)")
+def word_ranked(spark, sf_dir):
+    return search.word_hits(_index(spark, sf_dir), _stems()).select(F.col("doc").alias("doc_id"), "coverage", F.round("score", 6).alias("score"))
+
+
+@_query(f"WITH {_STEMS} SELECT s.doc_id, count(e.doc_id) > 0 AS exact FROM spost s LEFT JOIN post e ON e.doc_id = s.doc_id AND e.term = 'eau' WHERE s.term = '{stemming.stem_of('eau')}' GROUP BY s.doc_id")
+def exact_vs_variant_docs(spark, sf_dir):
+    i = _index(spark, sf_dir)
+    exact = search.docs_with_form(i, "eau").withColumn("hit", F.lit(True))
+    return i.lookup(stemming.stem_of("eau")).join(exact, "doc", "left").select(F.col("doc").alias("doc_id"), F.coalesce("hit", F.lit(False)).alias("exact"))
+
+
+@_query(f"WITH {_VOCAB} SELECT form, 1 AS distance, weight FROM vocab WHERE damerau_levenshtein(key, '{MISSPELT}') = 1")
+def fuzzy_terms(spark, sf_dir):
+    return Dictionary(_index(spark, sf_dir).vocabulary).approximate(MISSPELT, most=1, limit=None).where("distance = 1")
+
+
+@_query(f"WITH {_STEMS} SELECT form, CAST(damerau_levenshtein(key, '{MISSPELT}') AS INT) AS distance, weight FROM vocab WHERE damerau_levenshtein(key, '{MISSPELT}') <= 1 AND form <> '{MISSPELT}' ORDER BY distance, weight DESC, key, form LIMIT 5")
+def did_you_mean(spark, sf_dir):
+    i = _index(spark, sf_dir)
+    near = Dictionary(i.vocabulary).approximate(MISSPELT, most=1, limit=None).where(F.col("form") != MISSPELT)
+    return near.orderBy("distance", F.desc("weight"), text.without_accents(F.col("form")), "form").limit(5)
+
+
+@_query(f"WITH {_VOCAB}, asked AS (SELECT * FROM (VALUES (1, 'ention'), (2, 'thhex'), (3, 'oushx')) q(pos, term)), near AS (SELECT pos, form, row_number() OVER (PARTITION BY pos ORDER BY damerau_levenshtein(key, term), weight DESC, key, form) AS r FROM asked JOIN vocab ON damerau_levenshtein(key, term) <= 1 WHERE term NOT IN (SELECT form FROM vocab)) SELECT string_agg(coalesce(form, term), ' ' ORDER BY pos) AS corrected FROM asked LEFT JOIN (SELECT * FROM near WHERE r = 1) USING (pos)")
+def corrected_query(spark, sf_dir):
+    asked = spark.createDataFrame([(1, "ention"), (2, "thhex"), (3, "oushx")], "pos int, term string")  # the words of one query
+    words = _index(spark, sf_dir).vocabulary
+    unknown = F.broadcast(asked.join(words.select(F.col("form").alias("term")), "term", "left_anti"))
+    near = words.join(unknown, distance.within(F.col("key"), F.col("term"), F.lit(1))).withColumn("distance", distance.edit_distance(F.col("key"), F.col("term"))).where("distance <= 1")
+    best = near.withColumn("r", F.row_number().over(Window.partitionBy("pos").orderBy("distance", F.desc("weight"), "key", "form"))).where("r = 1").select("pos", "form")
+    fixed = asked.join(best, "pos", "left").select("pos", F.coalesce("form", "term").alias("word"))
+    return fixed.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda s: s["word"]), " ").alias("corrected"))
+
+
+_OSA = [("algortimo", "algoritmo"), ("hahs", "hash"), ("", "abc"), ("kitten", "sitting"), ("dados", "dados")]
+
+
+@_query("SELECT * FROM (VALUES ('algortimo', 'algoritmo', 1), ('hahs', 'hash', 1), ('', 'abc', 3), ('kitten', 'sitting', 3), ('dados', 'dados', 0)) t(a, b, distance)")
+def edit_distances(spark, sf_dir):
+    return spark.createDataFrame(_OSA, "a string, b string").select("a", "b", distance.edit_distance(F.col("a"), F.col("b")).alias("distance"))
+
+
+# Prefixes
+
+
+@_query(f"WITH {_VOCAB} SELECT form, key, weight FROM vocab WHERE starts_with(key, '{PREFIX}')")
+def prefix_terms(spark, sf_dir):
+    return Dictionary(_index(spark, sf_dir).vocabulary).listed(PREFIX)
+
+
+@_query(f"WITH {_VOCAB} SELECT count(*) AS words FROM vocab WHERE starts_with(key, '{PREFIX}')")
+def prefix_count(spark, sf_dir):
+    return Dictionary(_index(spark, sf_dir).vocabulary).count(PREFIX)
+
+
+@_query(f"WITH {_VOCAB} SELECT form, key, weight FROM vocab WHERE starts_with(key, '{PREFIX}') ORDER BY key, form LIMIT 20")
+def prefix_limit(spark, sf_dir):
+    return Dictionary(_index(spark, sf_dir).vocabulary).listed(PREFIX, 20)
+
+
+@_query(f"WITH {_VOCAB} SELECT form, key, weight FROM vocab WHERE starts_with(key, '{PREFIX}') ORDER BY key, form LIMIT 10 OFFSET 10")
+def prefix_page(spark, sf_dir):
+    return search.page(Dictionary(_index(spark, sf_dir).vocabulary).listed(PREFIX), 1, 10)
+
+
+@_query(f"WITH {_VOCAB} SELECT form, key, weight FROM vocab WHERE starts_with(key, '{PREFIX}') ORDER BY weight DESC, key, form LIMIT 10")
+def prefix_topk(spark, sf_dir):
+    return Dictionary(_index(spark, sf_dir).vocabulary).suggested(PREFIX, 10)
+
+
+@_query(f"WITH {_VOCAB}, p AS (SELECT DISTINCT substr(key, 1, 2) AS prefix FROM vocab WHERE length(key) >= 2), r AS (SELECT prefix, CAST(row_number() OVER (PARTITION BY prefix ORDER BY weight DESC, key, form) AS INT) AS rank, form, weight FROM p JOIN vocab ON starts_with(key, prefix)) SELECT * FROM r WHERE rank <= 3")
+def prefix_topk_batch(spark, sf_dir):
+    words = _index(spark, sf_dir).vocabulary
+    return Dictionary(words).suggested_for_all(words.where("length(key) >= 2").select(F.substring("key", 1, 2).alias("prefix")).distinct(), 3)
+
+
+@_query(f"WITH {_VOCAB}, w AS (SELECT form FROM vocab WHERE starts_with(key, '{PREFIX}') ORDER BY key, form LIMIT 50) SELECT w.form AS term, p.doc_id FROM w JOIN post p ON p.term = w.form")
+def prefix_docs(spark, sf_dir):
+    return search.prefix_terms(_index(spark, sf_dir), PREFIX).withColumnRenamed("doc", "doc_id")
+
+
+@_query(f"WITH {_VOCAB}, w AS (SELECT form FROM vocab WHERE starts_with(key, '{PREFIX}') ORDER BY key, form LIMIT 50) SELECT p.doc_id, count(DISTINCT w.form) AS terms FROM w JOIN post p ON p.term = w.form GROUP BY p.doc_id")
+def prefix_terms_per_doc(spark, sf_dir):
+    return search.prefix_terms_per_doc(_index(spark, sf_dir), PREFIX).withColumnRenamed("doc", "doc_id")
+
+
+@_query(f"WITH {_VOCAB}, {_LEN}, w AS (SELECT form FROM vocab WHERE starts_with(key, '{PREFIX}') ORDER BY key, form LIMIT 50), sc AS (SELECT p.doc_id, sum(ln((n_docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM post WHERE term IN (SELECT form FROM w)) p JOIN dl USING (doc_id), tot GROUP BY p.doc_id) SELECT doc_id, round(score, 6) AS score FROM sc")
+def prefix_bm25(spark, sf_dir):
+    i = _index(spark, sf_dir)
+    terms = [r["form"] for r in Dictionary(i.vocabulary).listed(PREFIX, 50).collect()]
+    return _scores(ranking.bm25(i, terms, stems=False))
+
+
+_PATHS = f"{_VOCAB}, paths AS (SELECT key, weight, substr(key, 1, CAST(n AS INT)) AS path FROM (SELECT key, weight, unnest(range(0, length(key) + 1)) AS n FROM vocab))"
+
+
+@_query(f"WITH {_PATHS} SELECT count(DISTINCT path) AS nodes FROM paths")
+def trie_nodes(spark, sf_dir):
+    return Dictionary(_index(spark, sf_dir).vocabulary).node_count()
+
+
+@_query(f"WITH {_PATHS} SELECT path, bool_or(path = key) AS is_end, count(*) AS words_below, max(weight) AS best_weight FROM paths GROUP BY path")
+def trie_node_aggregates(spark, sf_dir):
+    return Dictionary(_index(spark, sf_dir).vocabulary).nodes()
+
+
+@_query(f"WITH {_VOCAB} SELECT max(length(key)) AS height FROM vocab")
+def trie_height(spark, sf_dir):
+    return Dictionary(_index(spark, sf_dir).vocabulary).height().select(F.col("height").cast("long").alias("height"))
+
+
+@_query(f"WITH {_PATHS} SELECT count(*) + 1 AS nodes FROM (SELECT path FROM paths WHERE path <> '' GROUP BY path HAVING bool_or(path = key) OR count(DISTINCT nullif(substr(key, length(path) + 1, 1), '')) >= 2)")
+def patricia_nodes(spark, sf_dir):
+    return Dictionary(_index(spark, sf_dir).vocabulary).compressed_count()
+
+
+@_query(f"WITH {_PATHS}, k AS (SELECT key FROM vocab WHERE starts_with(key, '{PREFIX}') ORDER BY key, form LIMIT 10) SELECT count(DISTINCT path) AS visits FROM paths WHERE starts_with(path, '{PREFIX}') AND path <= (SELECT max(key) FROM k)")
+def prefix_visits(spark, sf_dir):
+    return Dictionary(_index(spark, sf_dir).vocabulary).listing_visits(PREFIX, 10)
+
+
+@_query(f"WITH {_PATHS}, n AS (SELECT path, max(weight) AS best FROM paths WHERE starts_with(path, '{PREFIX}') GROUP BY path), k AS (SELECT weight, key FROM vocab WHERE starts_with(key, '{PREFIX}') ORDER BY weight DESC, key, form LIMIT 10), last AS (SELECT weight, key FROM k ORDER BY weight, key DESC LIMIT 1) SELECT count(*) AS visits FROM n, last WHERE best > last.weight OR (best = last.weight AND path <= last.key)")
+def bestfirst_visits(spark, sf_dir):
+    return Dictionary(_index(spark, sf_dir).vocabulary).best_first_visits(PREFIX, 10)
+
+
+# Raw sequences
+
+_AT = f"hit AS (SELECT doc_id, text, unnest(list_filter(range(1, greatest(length(text) - {len(SEQUENCE)} + 2, 1)), lambda p: substr(lower(text), CAST(p AS INT), {len(SEQUENCE)}) = '{SEQUENCE}')) - 1 AS pos FROM documents)"
+
+
+@_query(f"WITH {_AT} SELECT doc_id, count(*) AS occurrences FROM hit GROUP BY doc_id")
+def seq_count(spark, sf_dir):
+    rows = _docs(spark, sf_dir).select("doc_id", sequence.occurrence_count(F.lower("text"), SEQUENCE).alias("occurrences"))
+    return rows.where("occurrences > 0")
+
+
+@_query(f"WITH {_AT} SELECT doc_id, CAST(pos AS INT) AS pos FROM hit")
+def seq_offsets(spark, sf_dir):
+    hits = search.sequence_hits(_index(spark, sf_dir), SEQUENCE)
+    return hits.select(F.col("doc").alias("doc_id"), F.explode("positions").alias("pos"))
+
+
+@_query(f"WITH {_AT}, f AS (SELECT doc_id, text, min(pos) AS pos FROM hit GROUP BY ALL), g AS (SELECT *, greatest(pos - 45, 0) AS a, least(length(text), pos + {len(SEQUENCE)} + 45) AS b FROM f) SELECT doc_id, CASE WHEN a > 0 THEN '...' ELSE '' END || trim(regexp_replace(substr(text, CAST(a + 1 AS INT), CAST(b - a AS INT)), '\\s+', ' ', 'g')) || CASE WHEN b < length(text) THEN '...' ELSE '' END AS snippet FROM g")
+def seq_snippets(spark, sf_dir):
+    hits = search.sequence_hits(_index(spark, sf_dir), SEQUENCE, contexts=1)
+    return hits.select(F.col("doc").alias("doc_id"), F.col("contexts")[0].alias("snippet"))
+
+
+@_query("SELECT p.page_id, (length(lower(html)) - length(replace(lower(html), '<p>', ''))) // 3 AS occurrences FROM pages p")
+def seq_count_pages(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", sequence.occurrence_count(F.lower("html"), "<p>").alias("occurrences"))
+
+
+_STARTS = " + ".join(["greatest(length(text) - 3, 0)"] + [f"len(list_filter(range(1, greatest(length(text) - 2, 1)), lambda p: substr(lower(text), CAST(p AS INT), {k}) = '{SEQUENCE[:k]}'))" for k in (1, 2, 3)])
+
+
+@_query(f"SELECT doc_id, CAST({_STARTS} AS BIGINT) AS comparisons FROM documents")
+def naive_comparisons(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", sequence.naive_comparisons(F.lower("text"), SEQUENCE).alias("comparisons"))
+
+
+@_query()
+def kmp_comparisons(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", sequence.kmp_comparisons(F.lower("text"), SEQUENCE).alias("comparisons"))
+
+
+@_query("SELECT doc_id, len(list_filter(regexp_extract_all(text, '\\p{L}+'), lambda w: length(w) >= 2 AND starts_with(strip_accents(lower(w)), 'ent'))) AS hits FROM documents")
+def highlight_prefix(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", highlight.hit_count(highlight.segments(F.col("text"), prefix=PREFIX)).cast("long").alias("hits"))
+
+
+# Hash table
+
+_HASH = f"{_VOCAB}, h AS (SELECT form, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(form, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda a, c: (a * 31 + c) % 4294967296) AS hash FROM vocab), cap AS (SELECT CAST(1024 * pow(2, greatest(0, ceil(log2(count(*) / 0.75 / 1024)))) AS BIGINT) AS capacity FROM vocab)"
+
+
+def _keys(spark, sf_dir) -> tuple[DataFrame, int]:
+    keys = _index(spark, sf_dir).vocabulary.select(F.col("form").alias("key"))
+    return keys, hashing.capacity_for(keys.count())
+
+
+@_query(f"WITH {_HASH} SELECT hash % capacity AS bucket, count(*) AS chain FROM h, cap GROUP BY ALL")
+def hash_buckets(spark, sf_dir):
+    return hashing.buckets(*_keys(spark, sf_dir))
+
+
+@_query(f"WITH {_HASH}, b AS (SELECT hash % capacity AS bucket, count(*) AS chain FROM h, cap GROUP BY ALL) SELECT CAST(sum(chain) AS BIGINT) AS keys, (SELECT capacity FROM cap) AS capacity, round(sum(chain) / (SELECT capacity FROM cap), 6) AS load, count(*) AS occupied, CAST(sum(chain) - count(*) AS BIGINT) AS collisions, max(chain) AS longest, round(sum(chain) / count(*), 3) AS mean_chain FROM b")
+def hash_stats(spark, sf_dir):
+    return hashing.table_statistics(*_keys(spark, sf_dir))
+
+
+@_query(f"WITH {_HASH}, b AS (SELECT hash % capacity AS bucket, count(*) AS chain FROM h, cap GROUP BY ALL), c AS (SELECT chain, count(*) AS buckets FROM b GROUP BY chain UNION ALL SELECT 0, (SELECT capacity FROM cap) - count(*) FROM b) SELECT chain, buckets FROM c")
+def chain_histogram(spark, sf_dir):
+    return hashing.chain_histogram(*_keys(spark, sf_dir))
+
+
+# Statistics
+
+
+@_query("SELECT event_type AS type, count(*) AS questions, round(sum(value), 4) AS seconds, round(avg(value), 6) AS mean FROM events GROUP BY event_type")
+def query_log_summary(spark, sf_dir):
+    log = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("type"), F.col("value").alias("seconds"))
+    return statistics.log_summary(log).select("type", "questions", F.round("seconds", 4).alias("seconds"), F.round("mean", 6).alias("mean"))
+
+
+@_query("SELECT round(avg(value) FILTER (event_type = (SELECT max(event_type) FROM events)) / avg(value) FILTER (event_type = (SELECT min(event_type) FROM events)), 6) AS ratio FROM events")
+def query_log_ratio(spark, sf_dir):
+    log = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("type"), F.col("value").alias("seconds"))
+    a, b = log.agg(F.max("type"), F.min("type")).first()
+    return statistics.mean_ratio(log, a, b).select(F.round("ratio", 6).alias("ratio"))
+
+
+@_query(f"WITH {_PATHS} SELECT (SELECT count(*) FROM vocab) AS terms, (SELECT count(DISTINCT path) FROM paths) AS nodes, (SELECT count(*) + 1 FROM (SELECT path FROM paths WHERE path <> '' GROUP BY path HAVING bool_or(path = key) OR count(DISTINCT nullif(substr(key, length(path) + 1, 1), '')) >= 2)) AS compressed_nodes")
+def structure_stats(spark, sf_dir):
+    return statistics.structure_figures(_index(spark, sf_dir, stemmed=False)).select("terms", "nodes", "compressed_nodes")
+
+
+@_query("WITH n AS (SELECT conv_id, turn, CAST(len(regexp_extract_all(lower(text), '[\\p{L}\\p{Nl}\\p{No}]+')) AS BIGINT) AS n FROM conversations) SELECT conv_id, count(*) AS turns, CAST(sum(n) AS BIGINT) AS tokens FROM n GROUP BY conv_id")
+def conversation_tokens(spark, sf_dir):
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return turns.groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(F.size(text.tokens(F.col("text"))).cast("long")).alias("tokens"))
