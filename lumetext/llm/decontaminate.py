@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import byte_slices
 from .near_dedup import word_hashes
 
 RANK = 64
@@ -37,6 +38,7 @@ SCALES = ((10, 2, 1), (24, 4, 1), (48, 8, 2))  # items of up to so many words: b
 _LEAKS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("common", pa.float64()), ("answer", pa.float64())])
 _LEAKS_SQL = "doc_id long, item_id long, cosine double, common double, answer double"
 _SLOTS = 20
+_SLICE = 2_000_000
 
 
 def answer_start(text: str, n_words: int) -> int:
@@ -87,7 +89,7 @@ def statistics(docs: DataFrame, items: Items, span: int) -> tuple[int, np.ndarra
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         omega = random_matrix(n)
         passages, frequency, z = 0, np.zeros(n), np.zeros((RANK, n))
-        for batch in batches:
+        for batch in (s for b in batches for s in byte_slices(b, 0, _SLICE)):
             words, counts = word_hashes(batch.column(0))
             each = -(-np.diff(counts) // span)
             first = np.concatenate([[0], np.cumsum(each)])
@@ -296,7 +298,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.35, comm
         shared = docs.sparkSession.sparkContext.broadcast(space)
 
         def found(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in (s for b in batches for s in byte_slices(b, 1, _SLICE)):
                 got = leaks_of(shared.value, b.column(1), cosine, common, answer)
                 ids = b.column(0).to_pylist()
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([[ids[t] for t, _ in got], [shared.value.items.items[k][0] for _, k in got], [v[2] for v in got.values()], [v[0] for v in got.values()], [v[1] for v in got.values()]], _LEAKS, strict=True)], schema=_LEAKS)
@@ -313,9 +315,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.3
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                texts = b.column(b.schema.get_field_index("text")).cast(pa.string()).fill_null("")
-                bad = {t for t, _ in leaks_of(shared.value, texts, cosine, common, answer)}
-                yield b.filter(pa.array([t not in bad for t in range(b.num_rows)], pa.bool_()))
+                at = b.schema.get_field_index("text")
+                for s in byte_slices(b, at, _SLICE):
+                    bad = {t for t, _ in leaks_of(shared.value, s.column(at).cast(pa.string()).fill_null(""), cosine, common, answer)}
+                    yield s.filter(pa.array([t not in bad for t in range(s.num_rows)], pa.bool_()))
 
         out = out.mapInArrow(clean, out.schema)
     return out
