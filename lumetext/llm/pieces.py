@@ -37,6 +37,7 @@ class TokenizerPieces:
         zero = self._ids(["0"])[0]
         vocabulary = self.library.get_vocab()
         self.keeps_space = self._ids([" a"]) != self._ids(["a"])
+        self.stops = {x: np.array(i, dtype="<u4").tobytes() for x, i in zip(",.", self._ids([",", "."]), strict=True)}
         self.separator = zero[0] if len(zero) == 1 else None
         self.starts = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         for k, i in vocabulary.items():
@@ -48,8 +49,12 @@ class TokenizerPieces:
     def _learn(self, new: list[str]) -> None:
         if len(self.known) + len(new) > self.limit:
             self.known = dict(islice(self.known.items(), self.limit // 2))  # common words are met first
+        # a stop or comma after a letter stands alone, and so do the lines of a word if blanks are dropped: what is left is often known
+        made = {w: a for w in new if len(a := self._atoms(w)) > 1 or a[0] != w}
+        atoms = {x for a in made.values() for x in a}
+        atoms.update(w for w in new if w not in made)
         easy, hard = [], []
-        for w in new:
+        for w in atoms - self.known.keys():
             if self.keeps_space:
                 (hard if not w or " " in w or w[0].isspace() or w[-1].isspace() else easy).append(w)
             else:
@@ -73,6 +78,20 @@ class TokenizerPieces:
             some = hard[a : a + _BATCH]
             for w, ids in zip(some, self._ids([" " + w for w in some] if self.keeps_space else some), strict=True):
                 self.known[w] = np.array(ids, dtype="<u4").tobytes()
+        known, stops = self.known, self.stops
+        for w, a in made.items():
+            known[w] = b"".join([stops[x] if x in stops else known[x] for x in a])
+
+    def _atoms(self, word: str) -> list[str]:
+        out = []
+        for part in [word] if self.keeps_space else word.split("\n"):
+            if not self.keeps_space and part.isascii():
+                part = part.lower()
+            if part[-1:] in self.stops and part[-2:-1].isascii() and part[-2:-1].isalpha():
+                out += [part[:-1], part[-1]]
+            else:
+                out.append(part)
+        return out
 
     def _heads(self, texts: list[str]) -> dict[str, bytes]:
         """The ids of what stands before the first boundary of each text."""
