@@ -35,7 +35,9 @@ def accent_map() -> tuple[str, str]:
             deleted.append(c)
             continue
         plain = "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))
-        if len(plain) == 1 and plain != c:
+        if not plain:
+            deleted.append(c)
+        elif len(plain) == 1 and plain != c:
             changed.append((c, plain))
     return "".join(a for a, _ in changed) + "".join(deleted), "".join(b for _, b in changed)
 
