@@ -81,35 +81,54 @@ def random_matrix(n: int, rank: int = RANK) -> np.ndarray:
     return np.random.default_rng(17).normal(size=(n, rank))
 
 
+def blocks_of(counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(blocks before each text and in all, first word and end of each block) of the texts cut into blocks of words."""
+    each = -(-np.diff(counts) // size)
+    first = np.concatenate([[0], np.cumsum(each)])
+    start = np.repeat(counts[:-1] - first[:-1] * size, each) + np.arange(int(first[-1])) * size
+    return first, start, np.minimum(start + size, np.repeat(counts[1:], each))
+
+
+def block_sums(number: np.ndarray, start: np.ndarray, end: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """For each block of words the sum of their rows; the last of ``rows`` is for words without a number."""
+    out = np.zeros((len(start), rows.shape[1]), dtype=np.float32)
+    for k in range(BLOCK):
+        out += rows[np.where(start + k < end, number[np.minimum(start + k, len(number) - 1)], -1)]
+    return out
+
+
+def gathered(items: Items, texts: pa.Array, span: int, omega: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """Of some texts: passages, passages with each word, and z (rank x words): see ``statistics``."""
+    n = len(items.vocabulary)
+    words, counts = word_hashes(texts)
+    number = items.numbers(words)
+    first, start, end = blocks_of(counts, span)
+    at = np.flatnonzero(number >= 0)
+    if not len(at):
+        return int(first[-1]), np.zeros(n), np.zeros((RANK, n))
+    passage = np.searchsorted(start, at, side="right") - 1
+    cell, times = np.unique(passage * n + number[at], return_counts=True)
+    passage, word = cell // n, cell % n
+    norm = np.sqrt(np.bincount(passage, weights=times.astype(float) ** 2, minlength=int(first[-1])))
+    inner, a, b = blocks_of(counts, BLOCK)
+    sums = block_sums(number, a, b, omega)
+    y = np.add.reduceat(sums, np.searchsorted(a, start), axis=0) / np.maximum(norm, 1)[:, None]
+    y = np.ascontiguousarray(y.T)
+    value = times / norm[passage]
+    return int(first[-1]), np.bincount(word, minlength=n).astype(float), np.stack([np.bincount(word, weights=y[j][passage] * value, minlength=n) for j in range(RANK)])
+
+
 def statistics(docs: DataFrame, items: Items, span: int) -> tuple[int, np.ndarray, np.ndarray]:
     """Passages in all; passages with each word; (T'T) times the random matrix, for the unit term vectors T of the passages."""
     n = len(items.vocabulary)
     columns = [f"z{j}" for j in range(RANK)]
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        omega = random_matrix(n)
+        omega = np.vstack([random_matrix(n), np.zeros(RANK)]).astype(np.float32)
         passages, frequency, z = 0, np.zeros(n), np.zeros((RANK, n))
         for batch in (s for b in batches for s in byte_slices(b, 0, _SLICE)):
-            words, counts = word_hashes(batch.column(0))
-            each = -(-np.diff(counts) // span)
-            first = np.concatenate([[0], np.cumsum(each)])
-            passages += int(first[-1])
-            number = items.numbers(words)
-            at = np.flatnonzero(number >= 0)
-            text = np.searchsorted(counts, at, side="right") - 1
-            passage = first[text] + (at - counts[text]) // span
-            cell, times = np.unique(passage * n + number[at], return_counts=True)
-            if not len(cell):
-                continue
-            passage, word = cell // n, cell % n
-            begin = np.flatnonzero(np.diff(passage, prepend=-1))
-            norm = np.sqrt(np.add.reduceat(times.astype(float) ** 2, begin))
-            size = np.diff(np.append(begin, len(cell)))
-            value = times / np.repeat(norm, size)
-            frequency += np.bincount(word, minlength=n)
-            y = np.repeat(np.add.reduceat(value[:, None] * omega[word], begin, axis=0), size, axis=0) * value[:, None]
-            for j in range(RANK):
-                z[j] += np.bincount(word, weights=y[:, j], minlength=n)
+            more = gathered(items, batch.column(0), span, omega)
+            passages, frequency, z = passages + more[0], frequency + more[1], z + more[2]
         some = np.flatnonzero(frequency)
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([float(passages)])] + [pa.array([0.0])] * RANK, ["word", "f", *columns])
         for a in range(0, len(some), 4096):
@@ -141,6 +160,8 @@ class Space:
         q, sigma, _ = np.linalg.svd(g @ vector[:, keep] / np.sqrt(value[keep]), full_matrices=False)
         good = sigma > sigma.max(initial=0) * 1e-4
         self.project = (self.idf[:, None] * q[:, good] / sigma[good]).astype(np.float32) if good.any() else np.diag(self.idf).astype(np.float32)[:, :RANK]
+        # a row for each word, the last one for others; its last column is the weight
+        self.rows = np.vstack([np.column_stack([self.project, self.idf]), np.zeros(self.project.shape[1] + 1)]).astype(np.float32)
         # the item pieces of each scale, unit length; their items; the least weight
         self.scales = []
         pieces: list[list] = [[] for _ in SCALES]
@@ -169,20 +190,14 @@ class Space:
 
     def candidates(self, number: np.ndarray, counts: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, ...]]:
         """Arrays (text, item, first word and end of the window, cosine) of the windows of some texts that look like an item."""
-        each = -(-np.diff(counts) // BLOCK)
-        first = np.concatenate([[0], np.cumsum(each)])
-        at = np.flatnonzero(number >= 0)
-        if not len(at):
+        first, begin, end = blocks_of(counts, BLOCK)
+        if not len(begin):
             return
-        text = np.searchsorted(counts, at, side="right") - 1
-        block = first[text] + (at - counts[text]) // BLOCK
-        begin = np.flatnonzero(np.diff(block, prepend=-1))
-        total = np.zeros((int(first[-1]) + 1, self.project.shape[1]))
-        total[block[begin] + 1] = np.add.reduceat(self.project[number[at]], begin, axis=0)
-        weight = np.zeros(int(first[-1]) + 1)
-        weight[block[begin] + 1] = np.add.reduceat(self.idf[number[at]], begin)
-        np.cumsum(total, axis=0, out=total)
-        np.cumsum(weight, out=weight)
+        sums = block_sums(number, begin, end, self.rows)
+        total = np.zeros((len(begin) + 1, sums.shape[1] - 1))
+        np.cumsum(sums[:, :-1], axis=0, out=total[1:])
+        weight = np.concatenate([[0.0], np.cumsum(sums[:, -1], dtype=np.float64)])
+        each = np.diff(first)
         owner = np.repeat(np.arange(len(each)), each)
         last = first[1:][owner]
         for blocks, step, of, unit, least in self.scales:
