@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,39 +52,40 @@ def failure_table(pattern: str) -> list[int]:
     return out
 
 
-def automaton(pattern: str) -> dict[str, list[tuple[int, int]]]:
-    """For each character of the pattern, and "" for any other: per state the next one and the comparisons it takes."""
-    m, fail = len(pattern), failure_table(pattern)
-    out: dict[str, list[tuple[int, int]]] = {}
-    for c in [*dict.fromkeys(pattern), ""]:
-        row = []
-        for state in range(m):
-            k, cost = state, 1
-            while k and pattern[k] != c:
-                k, cost = fail[k - 1], cost + 1
-            k += pattern[k] == c
-            row.append((fail[m - 1] if k == m else k, cost))
-        out[c] = row
-    return out
+def kmp_comparisons(text: Column, pattern: str) -> Column:
+    """Character comparisons of a Knuth-Morris-Pratt scan; 0 if the pattern is empty or longer than the text.
 
+    An Arrow function: the scan depends on every character before, and stretches without the first character of the
+    pattern are passed over at once, at a comparison each.
+    """
+    m, fail = len(pattern), failure_table(pattern)
 
-def kmp_comparisons(text: Column, pattern: str) -> Column:
-    """Character comparisons of a Knuth-Morris-Pratt scan; 0 if the pattern is empty or longer than the text."""
-    if not pattern:
-        return F.lit(0).cast("long")
-    table = automaton(pattern)
-    arrays = {c: F.array(*[F.struct(F.lit(s).alias("next"), F.lit(n).alias("cost")) for s, n in row]) for c, row in table.items()}
-
-    def step(state: Column, c: Column) -> Column:
-        row = arrays[""]
-        for ch in table:
-            if ch:
-                row = F.when(c == ch, arrays[ch]).otherwise(row)
-        return bind(F.get(row, state["at"]), lambda e: F.struct(e["next"].alias("at"), (state["n"] + e["cost"]).alias("n")))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("n"))
-    scan = F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), start, step)["n"]
-    return F.when(F.length(text) < len(pattern), F.lit(0).cast("long")).otherwise(scan)
+    def scan(t: str) -> int:
+        n, i, j, count = len(t), 0, 0, 0
+        if not m or m > n:
+            return 0
+        while i < n:
+            if not j:
+                k = t.find(pattern[0], i)
+                if k < 0:
+                    return count + n - i
+                count += k - i
+                i = k
+            count += 1
+            if t[i] == pattern[j]:
+                i += 1
+                j += 1
+                if j == m:
+                    j = fail[m - 1]
+            else:
+                j = fail[j - 1]
+        return count
+
+    @F.pandas_udf(T.LongType())
+    def counted(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else scan(t) for t in texts], dtype="Int64")
+
+    return counted(text)
 
 
 def naive_comparisons(text: Column, pattern: str) -> Column:

@@ -64,6 +64,7 @@ def _is_number_letter(c: str) -> bool:
 class Index:
     docs: DataFrame  # doc, content
     preprocessor: Preprocessor = field(default_factory=Preprocessor)
+    stored: bool = False
 
     @classmethod
     def of(cls, table: DataFrame, doc: str = "doc", content: str = "content", preprocessor: Preprocessor | None = None) -> Index:
@@ -112,11 +113,16 @@ class Index:
     def postings(self, stems: bool = True) -> DataFrame:
         return self.post_stem if stems else self.post_exact
 
+    def matching(self, terms: list[str], stems: bool = True) -> DataFrame:
+        """term, doc, tf of some terms. From stored tables by term; else only the tokens of these terms are counted."""
+        if not stems or self.stored:
+            return self.postings(stems).where(F.col("term").isin(terms))
+        forms = self.tokens.select("term").distinct().select("term", self.preprocessor.stem(F.col("term")).alias("stem")).where(F.col("stem").isin(terms))
+        return self.tokens.join(forms, "term").groupBy(F.col("stem").alias("term"), "doc").agg(F.count("*").alias("tf"))
+
     def lookup(self, term: str, stems: bool = True) -> DataFrame:
         """doc, tf of one term."""
-        if not stems:  # the filter reaches the tokens, so no other term is counted
-            return self.tokens.where(F.col("term") == term).groupBy("doc").agg(F.count("*").alias("tf"))
-        return self.post_stem.where(F.col("term") == term).select("doc", "tf")
+        return self.matching([term], stems).select("doc", "tf")
 
     def document_frequency(self, stems: bool = True) -> DataFrame:
         return self.postings(stems).groupBy("term").agg(F.count("*").alias("df"))
@@ -149,7 +155,7 @@ class Index:
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str, preprocessor: Preprocessor | None = None) -> Index:
-        out = cls(spark.read.parquet(f"{folder}/docs"), preprocessor or Preprocessor())
+        out = cls(spark.read.parquet(f"{folder}/docs"), preprocessor or Preprocessor(), stored=True)
         for name in ("post_exact", "vocabulary", "vocabulary_stems", "post_stem", "doc_lengths"):
             out.__dict__[name] = spark.read.parquet(f"{folder}/{name}")
         return out

@@ -26,24 +26,30 @@ def _query(index: Index, terms: list[str]) -> DataFrame:
     return index.docs.sparkSession.createDataFrame(rows, "term string, times long")
 
 
-def _matched(index: Index, terms: list[str], stems: bool) -> DataFrame:
-    """The postings of the terms, with df, dl and the totals."""
-    wanted = _query(index, terms)
-    posts = index.postings(stems).where(F.col("term").isin(list(dict.fromkeys(terms)))).join(F.broadcast(wanted), "term")  # the terms of one query
-    posts = posts.withColumn("df", F.count("*").over(Window.partitionBy("term")))
-    return posts.join(index.doc_lengths, "doc").crossJoin(F.broadcast(index.totals))  # one row
+def matched(index: Index, terms: list[str], stems: bool) -> DataFrame:
+    """The postings of the terms, with times, df, dl and the totals."""
+    posts = index.matching(list(dict.fromkeys(terms)), stems)
+    # a row for each term of the query, counted by partial sums: a term of every document is no hot key
+    frequency = posts.groupBy("term").agg(F.count("*").alias("df"))
+    asked = F.broadcast(_query(index, terms).join(frequency, "term"))
+    return posts.join(asked, "term").join(index.doc_lengths, "doc").crossJoin(F.broadcast(index.totals))  # one row
+
+
+def bm25_weight() -> Column:
+    """The score of a row of ``matched``."""
+    score = F.col("times") * bm25_score(F.col("tf"), F.col("dl"), F.col("avgdl"), idf(F.col("n_docs"), F.col("df")))
+    return F.when(F.col("avgdl") > 0, score)
 
 
 def bm25(index: Index, terms: list[str], stems: bool = True) -> DataFrame:
     """doc, score, best first, ties by doc; empty if no document has a token."""
-    found = _matched(index, terms, stems).where("avgdl > 0")
-    score = F.col("times") * bm25_score(F.col("tf"), F.col("dl"), F.col("avgdl"), idf(F.col("n_docs"), F.col("df")))
-    return found.groupBy("doc").agg(F.sum(score).alias("score")).orderBy(F.desc("score"), "doc")
+    found = matched(index, terms, stems).where("avgdl > 0")
+    return found.groupBy("doc").agg(F.sum(bm25_weight()).alias("score")).orderBy(F.desc("score"), "doc")
 
 
 def tfidf(index: Index, terms: list[str], stems: bool = True) -> DataFrame:
     """doc, score; a document whose terms are in every document stays, with 0."""
-    found = _matched(index, terms, stems)
+    found = matched(index, terms, stems)
     score = F.col("times") * (1 + F.log10("tf")) * F.log10(F.col("n_docs") / F.col("df"))
     return found.groupBy("doc").agg(F.sum(score).alias("score")).orderBy(F.desc("score"), "doc")
 

@@ -16,12 +16,12 @@ from .index import Index
 
 def word_hits(index: Index, stems: list[str]) -> DataFrame:
     """doc, coverage, frequency, score of every document with any of the stems: most stems first, then by BM25, then by doc."""
-    found = index.post_stem.where(F.col("term").isin(stems)).groupBy("doc").agg(F.count("*").alias("coverage"), F.sum("tf").alias("frequency"))
-    return found.join(ranking.bm25(index, stems), "doc").select("doc", "coverage", "frequency", "score").orderBy(F.desc("coverage"), F.desc("score"), "doc")
+    found = ranking.matched(index, stems, stems=True).groupBy("doc")
+    return found.agg(F.count("*").alias("coverage"), F.sum("tf").alias("frequency"), F.coalesce(F.sum(ranking.bm25_weight()), F.lit(0.0)).alias("score")).orderBy(F.desc("coverage"), F.desc("score"), "doc")
 
 
 def docs_with_all(index: Index, stems: list[str]) -> DataFrame:
-    return index.post_stem.where(F.col("term").isin(stems)).groupBy("doc").agg(F.count("*").alias("n")).where(F.col("n") == len(set(stems))).select("doc").orderBy("doc")
+    return index.matching(stems).groupBy("doc").agg(F.count("*").alias("n")).where(F.col("n") == len(set(stems))).select("doc").orderBy("doc")
 
 
 def docs_with_form(index: Index, term: str) -> DataFrame:

@@ -144,16 +144,11 @@ def test_trace(spark):
     assert len(sequence.kmp_trace()(F.lit("a" * 50), F.lit("b"), F.lit(7)).collect()) == 7
 
 
-@settings(max_examples=20, deadline=None)
-@given(st.text(alphabet="ab", max_size=12), st.text(alphabet="ab", min_size=1, max_size=4))
-def test_automaton(t, pattern):
-    state = n = 0
-    table = sequence.automaton(pattern)
-    for c in t:
-        state, cost = table.get(c, table[""])[state]
-        n += cost
-    if len(pattern) <= len(t):
-        assert n == kmp(t, pattern)[1]
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab", min_size=1, max_size=8))
+def test_failure_table_is_the_longest_border(pattern):
+    borders = [max(k for k in range(i) if pattern[:k] == pattern[i - k : i]) for i in range(1, len(pattern) + 1)]
+    assert sequence.failure_table(pattern) == borders
 
 
 def test_hash_table(spark):
