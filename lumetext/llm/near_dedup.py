@@ -29,11 +29,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_and_text, partitions, record_batch
+from .common import byte_slices, cut, id_and_text, partitions, record_batch
 from .words import ALPHANUMERIC_GAPS, hashes, mix, spans, text_buffer, windows
 
 BASE = np.uint64(0xA0761D6478BD642F)
 ORDERS = 4
+FEW = 8
 _STEP = 1 << 20
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("buckets", pa.list_(pa.int64()))])
 _SKETCH_SQL = "doc_id long, row_key long, h1 long, h2 long, buckets array<long>"
@@ -109,31 +110,37 @@ def few_edits(a: list, b: list, most: int) -> bool | None:
     return False
 
 
-def banded(a: np.ndarray, b: np.ndarray, most: int) -> bool:
-    """The same by the usual table, ``most`` cells to either side of the diagonal."""
+def banded(a: list, b: list, most: int) -> bool:
+    """The same by the table's cells within ``most`` of its diagonal, a column of them in the bits of two numbers.
+
+    Bit t of column j stands for row j - most + t: ``up`` and ``down`` say where a cell is one more or one less than
+    the one above. Rows before the first lie above the table and rise away from it; what is outside the band counts as one more.
+    """
     n, m = len(a), len(b)
-    width = 2 * most + 1
-    far = np.int32(n + m + 1)
-    shift = np.arange(width, dtype=np.int32)
-    j = shift - most
-    row = np.where((j >= 0) & (j <= m), j, far).astype(np.int32)
-    padded = np.concatenate([np.zeros(most + 1, b.dtype), b, np.zeros(most + n + 2, b.dtype)])
-    for i in range(1, n + 1):
-        # cell c of row i stands for column i + c - most
-        other = padded[i : i + width]
-        new = row + (other != a[i - 1])
-        new[:-1] = np.minimum(new[:-1], row[1:] + 1)
-        column = i + j
-        new[(column < 1) | (column > m)] = far
-        if 0 <= most - i < width:
-            new[most - i] = i
-        new = np.minimum.accumulate(new - shift) + shift
-        new[(column < 0) | (column > m)] = far
-        row = new.astype(np.int32)
-        if row.min() > most:
+    full = (1 << 2 * most + 1) - 1
+    at: dict = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    down = (1 << most + 1) - 1
+    up = full ^ down
+    corner, most_there = 0, most + abs(n - m)
+    for j in range(1, m + 1):
+        up, down = up >> 1 | 1 << 2 * most, down >> 1
+        same = at.get(b[j - 1], 0)
+        same = (same >> j - most - 1 if j > most else same << most + 1 - j) & full
+        level = (((same & up) + up) ^ up | same | down) & full
+        right, left = down | full & ~(level | up), level & up
+        corner += not level >> most & 1
+        if corner > most_there:
             return False
-    c = m - n + most
-    return 0 <= c < width and int(row[c]) <= most
+        right, left = (right << 1 | 1) & full, left << 1 & full
+        up, down = left | full & ~(level | right), right & level
+    if abs(n - m) > most:
+        return False
+    low, high = sorted((m, n))
+    between = ((1 << high - low) - 1) << (low - m + most + 1)
+    step = (up & between).bit_count() - (down & between).bit_count()
+    return corner + (step if n > m else -step) <= most
 
 
 def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -155,9 +162,10 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     differ = np.flatnonzero(a[::-1][:n] != b[::-1][:n])
     tail = int(differ[0]) if len(differ) else n
     a, b = a[: len(a) - tail], b[: len(b) - tail]
-    if few_edits(a.tolist(), b.tolist(), min(most, 48)):
+    a, b = a.tolist(), b.tolist()
+    if few_edits(a, b, min(most, FEW)):
         return True
-    return most > 48 and banded(a, b, most)
+    return most > FEW and banded(a, b, most)
 
 
 def sketches(docs: DataFrame, k: int, samples: int) -> DataFrame:
@@ -165,12 +173,7 @@ def sketches(docs: DataFrame, k: int, samples: int) -> DataFrame:
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = 0
-            sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
-            while at < batch.num_rows:
-                to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + 8 * _STEP, side="right")))
-                part = batch.slice(at, to - at)
-                at = to
+            for part in byte_slices(batch, 1, 4 * _STEP):
                 words, counts = word_hashes(part.column(1))
                 digests = np.zeros((part.num_rows, 2), dtype=np.int64)
                 texts = part.column(1)
@@ -226,15 +229,20 @@ def links(docs: DataFrame, reps: DataFrame, similarity: float, spread: int = 32)
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = zstandard.ZstdDecompressor()
-        known: tuple = (None, None)
         for batch in batches:
+            leader, member, head, z = (c.to_pylist() for c in batch.columns)
+            known: dict[int, bytes] = dict(zip(leader, head, strict=True))
             a, b = [], []
-            for leader, member, head, z in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if known[0] != leader:
-                    known = leader, word_hashes(pa.array([read.decompress(head).decode()]))[0]
-                if alike(known[1], word_hashes(pa.array([read.decompress(z).decode()]))[0], similarity):
-                    a.append(leader)
-                    b.append(member)
+            for own in np.array_split(np.argsort(leader, kind="stable"), -(-batch.num_rows // 512)) if batch.num_rows else []:
+                firsts = list(dict.fromkeys(leader[i] for i in own))
+                texts = [read.decompress(known[i]).decode() for i in firsts] + [read.decompress(z[i]).decode() for i in own]
+                words, counts = word_hashes(pa.array(texts, pa.large_string()))
+                place = {i: k for k, i in enumerate(firsts)}
+                for k, i in enumerate(own):
+                    x, y = place[leader[i]], len(firsts) + k
+                    if alike(words[counts[x] : counts[x + 1]], words[counts[y] : counts[y + 1]], similarity):
+                        a.append(leader[i])
+                        b.append(member[i])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return members.join(heads, ["leader", "share"]).select("leader", "member", "head", "z").mapInArrow(verified, "a long, b long")
