@@ -3,7 +3,7 @@
 Words are runs of letters and digits or runs of punctuation, case kept, hashed to ``2 ** BITS`` places. Each place has
 a sparse random index vector; a word's vector is the sum of the index vectors of its neighbours (two on either
 side) over the whole corpus, gathered per task and summed in Spark, of fixed size however large the corpus. A
-document is the mean and the spread of the unit vectors of its words. The network is trained in numpy on a bounded
+document is the mean and the spread of the unit vectors of its words and the mean product of neighbouring ones. The network is trained in numpy on a bounded
 sample of labelled rows (``max_rows``, those of least hash); its temperature is set on a fifth of them that it
 didn't learn from. Null and empty texts have zero vectors and get the score of these. If the labels hold fewer than
 two classes, the score is the mean label, or 0.5 without any. Rows repeat as they do in the input.
@@ -24,6 +24,7 @@ from .words import hashes, text_buffer
 
 BITS = 14
 SIZE = 32
+FEATURES = 3 * SIZE
 _NONZERO = 4
 _STEP = 1 << 21
 _KIND = np.array([0 if chr(b) in " \t\n\x0b\x0c\r" else 1 if b >= 128 or chr(b).isalnum() else 2 for b in range(256)], dtype=np.uint8)
@@ -62,23 +63,23 @@ def gather(docs: DataFrame) -> np.ndarray:
     """The unit word vectors of the corpus: places x SIZE."""
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = index_vectors()
+        index = np.ascontiguousarray(index_vectors().T)
         total = np.zeros((SIZE, 1 << BITS))
         for batch in batches:
             for _, place, counts in tokens(batch.column(0)):
-                near = index[place]
+                near = index[:, place]
                 around = np.zeros_like(near)
                 text = np.repeat(np.arange(len(counts) - 1), np.diff(counts))
                 for step in (1, 2):
                     if len(place) > step:
-                        same = (text[step:] == text[:-step])[:, None]
-                        around[step:] += near[:-step] * same
-                        around[:-step] += near[step:] * same
+                        same = text[step:] == text[:-step]
+                        around[:, step:] += near[:, :-step] * same
+                        around[:, :-step] += near[:, step:] * same
                 for d in range(SIZE):
-                    total[d] += np.bincount(place, weights=around[:, d], minlength=1 << BITS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(SIZE), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], ["d", "v"])
+                    total[d] += np.bincount(place, weights=around[d], minlength=1 << BITS)
+        yield pa.RecordBatch.from_arrays([pa.array(range(SIZE), pa.int32()), pa.array(list(total.astype(np.int32)), pa.list_(pa.int32()))], ["d", "v"])  # whole numbers: sums of -1, 0 and 1
 
-    parts = docs.select("text").mapInArrow(summed, "d int, v array<double>")
+    parts = docs.select("text").mapInArrow(summed, "d int, v array<int>")
     # a row for each dimension and task; summed in blocks of places, each a fixed number of sums
     block = 256
     blocks = parts.select("d", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit((1 << BITS) - block), F.lit(block)), lambda i: F.slice("v", i + 1, block))).alias("b", "v"))
@@ -90,21 +91,24 @@ def gather(docs: DataFrame) -> np.ndarray:
 
 
 def pooled(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
-    """Mean and spread of the word vectors of each text."""
-    out = np.zeros((len(column), 2 * SIZE), dtype=np.float32)
+    """Mean and spread of the word vectors of each text, and the mean product of neighbouring ones (which tells repeated words)."""
+    out = np.zeros((len(column), FEATURES), dtype=np.float32)
+    across = np.ascontiguousarray(vectors.T)
     for first, place, counts in tokens(column):
         n = np.diff(counts)
         full = np.flatnonzero(n)
         if len(full):
-            own = vectors[place]
-            mean = np.add.reduceat(own, counts[:-1][full], axis=0) / n[full, None]
-            square = np.add.reduceat(own * own, counts[:-1][full], axis=0) / n[full, None]
-            out[first + full] = np.concatenate([mean, np.sqrt(np.maximum(square - mean**2, 0))], axis=1)
+            own, start = across[:, place], counts[:-1][full]
+            pairs = np.zeros_like(own)
+            pairs[:, :-1] = own[:, :-1] * own[:, 1:]
+            pairs[:, counts[1:][full] - 1] = 0
+            mean, square, product = (np.add.reduceat(x, start, axis=1) / n[full] for x in (own, own * own, pairs))
+            out[first + full] = np.concatenate([mean, np.sqrt(np.maximum(square - mean**2, 0)), product]).T
     return out
 
 
 class Network:
-    def __init__(self, seed: int = 3, hidden: int = 32, size: int = 2 * SIZE):
+    def __init__(self, seed: int = 3, hidden: int = 32, size: int = FEATURES):
         rng = np.random.default_rng(seed)
         self.w1, self.b1 = rng.normal(0, size**-0.5, (size, hidden)), np.zeros(hidden)
         self.w2, self.b2 = rng.normal(0, hidden**-0.5, hidden), np.zeros(1)
@@ -151,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, max_rows: int =
     known = labels.where("doc_id is not null and label is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("double").alias("label")).groupBy("doc_id").agg(F.max("label").alias("label"))
     sample = {r["doc_id"]: r["label"] for r in known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).collect()}
     if not sample:
-        return Network().train(np.zeros((0, 2 * SIZE)), np.zeros(0))
+        return Network().train(np.zeros((0, FEATURES)), np.zeros(0))
 
     def vectorized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -159,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, max_rows: int =
 
     wanted = docs.sparkSession.createDataFrame([(i,) for i in sample], "doc_id long")  # at most ``max_rows`` numbers
     got = docs.join(F.broadcast(wanted), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(vectorized, "doc_id long, x array<float>").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    return Network().train(np.array([r["x"] for r in got], dtype=np.float64).reshape(-1, 2 * SIZE), np.array([sample[r["doc_id"]] for r in got]))
+    return Network().train(np.array([r["x"] for r in got], dtype=np.float64).reshape(-1, FEATURES), np.array([sample[r["doc_id"]] for r in got]))
 
 
 def score(docs: DataFrame, vectors: np.ndarray, network: Network, threshold: float = 0.7) -> DataFrame:
