@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +45,38 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_owner = ""
+#: What modules keep between the tasks of a worker; emptied when another operator's task begins there.
+KEPT: list = []
+
+
+def _trim() -> None:
+    """Gives memory that nothing uses back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(owner: str, f: Callable) -> Callable:
+    """``f`` for ``mapInArrow``: a worker that goes on to another operator lets go of what the last one kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from lumetext.llm import common
+
+        if common._owner != owner:
+            for held in common.KEPT:
+                held.clear()
+            common._owner = owner
+            _trim()
+        try:
+            yield from f(batches)
+        finally:
+            _trim()
+
+    return run
+
+
 def id_and_text(docs: DataFrame) -> DataFrame:
     """Only ``doc_id`` and ``text`` of ``docs`` (null text: empty)."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

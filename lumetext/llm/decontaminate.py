@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices
+from .common import byte_slices, lean
 from .near_dedup import word_hashes
 
 RANK = 64
@@ -135,7 +135,7 @@ def statistics(docs: DataFrame, items: Items, span: int) -> tuple[int, np.ndarra
             k = some[a : a + 4096]
             yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(frequency[k])] + [pa.array(z[j, k]) for j in range(RANK)], ["word", "f", *columns])
 
-    sums = docs.select("text").mapInArrow(summed, "word int, f double, " + ", ".join(f"{c} double" for c in columns)).groupBy("word").agg(*[F.sum(c).alias(c) for c in ("f", *columns)])
+    sums = docs.select("text").mapInArrow(lean("decontaminate", summed), "word int, f double, " + ", ".join(f"{c} double" for c in columns)).groupBy("word").agg(*[F.sum(c).alias(c) for c in ("f", *columns)])
     frequency, z, passages = np.zeros(n), np.zeros((n, RANK)), 0
     for r in sums.collect():  # a row for each word of the benchmark
         if r["word"] < 0:
@@ -318,7 +318,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.35, comm
                 ids = b.column(0).to_pylist()
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([[ids[t] for t, _ in got], [shared.value.items.items[k][0] for _, k in got], [v[2] for v in got.values()], [v[0] for v in got.values()], [v[1] for v in got.values()]], _LEAKS, strict=True)], schema=_LEAKS)
 
-        parts.append(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(found, _LEAKS_SQL))
+        parts.append(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(lean("decontaminate", found), _LEAKS_SQL))
     return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], _LEAKS_SQL)
 
 
@@ -335,5 +335,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.3
                     bad = {t for t, _ in leaks_of(shared.value, s.column(at).cast(pa.string()).fill_null(""), cosine, common, answer)}
                     yield s.filter(pa.array([t not in bad for t in range(s.num_rows)], pa.bool_()))
 
-        out = out.mapInArrow(clean, out.schema)
+        out = out.mapInArrow(lean("decontaminate", clean), out.schema)
     return out

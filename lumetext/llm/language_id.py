@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import lean
 from .words import text_buffer
 
 BITS = 13
@@ -187,7 +188,7 @@ def fit(rows: DataFrame, per_language: int = 300) -> Hierarchy:
             at = [np.flatnonzero(v) for v in whole]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(at, pa.list_(pa.int16())), pa.array([v[i] for v, i in zip(whole, at, strict=True)], pa.list_(pa.float32()))], ["lang", "at", "share"])
 
-    got = rows.where(F.col("doc_id").isin(ids)).orderBy(F.xxhash64("doc_id"), "doc_id", "lang").select("text", "lang").limit(per_language * len(counts)).mapInArrow(vectors, "lang string, at array<short>, share array<float>").collect()
+    got = rows.where(F.col("doc_id").isin(ids)).orderBy(F.xxhash64("doc_id"), "doc_id", "lang").select("text", "lang").limit(per_language * len(counts)).mapInArrow(lean("language", vectors), "lang string, at array<short>, share array<float>").collect()
     x = np.zeros((len(got), 1 << BITS), dtype=np.float32)
     for i, r in enumerate(got):
         x[i, np.asarray(r["at"], dtype=np.int64)] = r["share"]
@@ -202,7 +203,7 @@ def predict(docs: DataFrame, model: Hierarchy) -> DataFrame:
             names, score = model.predict(pc.fill_null(b.column(1), ""))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(predicted, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean("language", predicted), "doc_id long, lang_pred string, score double")
 
 
 def held_out(fold: int, folds: int):
@@ -225,4 +226,4 @@ def keep_identified(docs: DataFrame, per_language: int = 300) -> DataFrame:
             yield b.filter(pa.array([x != UND for x in names], pa.bool_()))
 
     # with nothing to learn from, no language can be told and nothing is rejected for that
-    return docs.mapInArrow(identified, docs.schema) if model.languages else docs
+    return docs.mapInArrow(lean("language", identified), docs.schema) if model.languages else docs

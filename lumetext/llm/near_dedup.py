@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, cut, id_and_text, partitions, record_batch
+from .common import byte_slices, cut, id_and_text, lean, partitions, record_batch
 from .words import ALPHANUMERIC_GAPS, hashes, mix, spans, text_buffer, windows
 
 BASE = np.uint64(0xA0761D6478BD642F)
@@ -186,7 +186,7 @@ def sketches(docs: DataFrame, k: int, samples: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(full * samples)]).astype(np.int32), pa.array(np.ascontiguousarray(found).reshape(-1).view(np.int64)))
                 yield record_batch(_SKETCH, [part.column(0), part.column(2), digests[:, 0], digests[:, 1], lists])
 
-    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key")).mapInArrow(sketched, _SKETCH_SQL)
+    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key")).mapInArrow(lean("near", sketched), _SKETCH_SQL)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -222,7 +222,7 @@ def links(docs: DataFrame, reps: DataFrame, similarity: float, spread: int = 32)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([write.compress(x.as_buffer()) for x in b.column(1).cast(pa.large_binary())], pa.binary())], ["doc_id", "z"])
 
-    texts = docs.where("doc_id is not null").mapInArrow(shrunk, "doc_id long, z binary")
+    texts = docs.where("doc_id is not null").mapInArrow(lean("near", shrunk), "doc_id long, z binary")
     texts = cut(texts.join(cut(needed), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("z").alias("z")))
     members = pairs.join(sizes, "leader").select("leader", F.pmod(F.xxhash64("member"), F.col("shares")).cast("int").alias("share"), "member").join(texts.withColumnRenamed("doc_id", "member"), "member")
     heads = sizes.join(texts.select(F.col("doc_id").alias("leader"), F.col("z").alias("head")), "leader").select("leader", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "head")
@@ -245,7 +245,7 @@ def links(docs: DataFrame, reps: DataFrame, similarity: float, spread: int = 32)
                         b.append(member[i])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return members.join(heads, ["leader", "share"]).select("leader", "member", "head", "z").mapInArrow(verified, "a long, b long")
+    return members.join(heads, ["leader", "share"]).select("leader", "member", "head", "z").mapInArrow(lean("near", verified), "a long, b long")
 
 
 def _classed(docs: DataFrame, k: int, samples: int, similarity: float) -> DataFrame:

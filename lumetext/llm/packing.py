@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import cut, id_and_text, record_batch
+from .common import cut, id_and_text, lean, record_batch
 from .pieces import TokenizerPieces, loaded
 from .token_counts import by_bytes
 
@@ -121,7 +121,7 @@ def encode_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: i
                     piece += 1
             yield record_batch(_PIECES_ARROW, list(zip(*rows, strict=True)) if rows else [[]] * 7)
 
-    return id_and_text(docs).mapInArrow(encode, _PIECES)
+    return id_and_text(docs).mapInArrow(lean("packing", encode), _PIECES)
 
 
 def place_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
@@ -151,7 +151,7 @@ def place_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
             yield record_batch(_PLACED_ARROW, [batch.column("doc_id"), batch.column("piece"), batch.column("start"), length.astype(np.int64), batch.column("ids_crc32"), sequence, offset])
 
     ranked = pieces.join(before, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("place")).alias("rank"))
-    return ranked.mapInArrow(place, _PLACED)
+    return ranked.mapInArrow(lean("packing", place), _PLACED)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int | None = 0) -> DataFrame:

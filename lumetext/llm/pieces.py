@@ -13,6 +13,8 @@ from itertools import islice
 
 import numpy as np
 
+from .common import KEPT
+
 _SPACE_THEN_BLANK = re.compile(r" (?=\s|\Z)")
 _SAFE_SPACE = re.compile(r"(?<!\s) | (?=\S)")
 _SAFE_PIECE_SPACE = re.compile("(?<=[^ ▁]) (?=[^ ▁])")
@@ -27,7 +29,7 @@ class TokenizerPieces:
     boundary, since the pattern keeps runs of blanks together. ``word`` (blanks dropped): any space is a boundary.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -178,6 +180,7 @@ class SentencePieceCounts:
 
 
 _loaded: dict = {}
+KEPT.append(_loaded)
 
 
 def loaded(kind, path: str):

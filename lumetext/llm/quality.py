@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import id_and_text, lean
 from .language_id import held_out
 from .words import hashes, text_buffer
 
@@ -79,7 +79,7 @@ def gather(docs: DataFrame) -> np.ndarray:
                     total[d] += np.bincount(place, weights=around[d], minlength=1 << BITS)
         yield pa.RecordBatch.from_arrays([pa.array(range(SIZE), pa.int32()), pa.array(list(total.astype(np.int32)), pa.list_(pa.int32()))], ["d", "v"])  # whole numbers: sums of -1, 0 and 1
 
-    parts = docs.select("text").mapInArrow(summed, "d int, v array<int>")
+    parts = docs.select("text").mapInArrow(lean("quality", summed), "d int, v array<int>")
     # a row for each dimension and task; summed in blocks of places, each a fixed number of sums
     block = 256
     blocks = parts.select("d", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit((1 << BITS) - block), F.lit(block)), lambda i: F.slice("v", i + 1, block))).alias("b", "v"))
@@ -162,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, max_rows: int =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(pooled(b.column(1), vectors)), pa.list_(pa.float32()))], ["doc_id", "x"])
 
     wanted = docs.sparkSession.createDataFrame([(i,) for i in sample], "doc_id long")  # at most ``max_rows`` numbers
-    got = docs.join(F.broadcast(wanted), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(vectorized, "doc_id long, x array<float>").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    got = docs.join(F.broadcast(wanted), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(lean("quality", vectorized), "doc_id long, x array<float>").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     return Network().train(np.array([r["x"] for r in got], dtype=np.float64).reshape(-1, FEATURES), np.array([sample[r["doc_id"]] for r in got]))
 
 
@@ -172,7 +172,7 @@ def score(docs: DataFrame, vectors: np.ndarray, network: Network, threshold: flo
             s = network.score(pooled(b.column(1), vectors))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())], ["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(scored, "doc_id long, score double, predicted int")
+    return docs.select("doc_id", "text").mapInArrow(lean("quality", scored), "doc_id long, score double, predicted int")
 
 
 def classify(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, threshold: float = 0.7) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions, record_batch
+from .common import lean, partitions, record_batch
 from .words import hashes, spans, text_buffer, windows
 
 BASE = np.uint64(0xD1342543DE82EF95)
@@ -73,7 +73,7 @@ def pack_chunk(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, window:
     return out, table
 
 
-def repeated_spans(docs: DataFrame, window: int, chunk_bytes: int = 16_000_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int, chunk_bytes: int = 8_000_000) -> DataFrame:
     """row_key, id_key, spans (pairs of int64: first word, end) of each row of ``docs`` (with these keys) that repeats a window."""
     n = partitions(docs.sparkSession)
     bits = max(8, (4 * n - 1).bit_length())
@@ -179,9 +179,9 @@ def repeated_spans(docs: DataFrame, window: int, chunk_bytes: int = 16_000_000)
                     places.append(_unplaned(payload)[0])
         yield rows()
 
-    packed = docs.select("row_key", "id_key", "text").mapInArrow(hashed, _PACKED_SQL)
-    back = packed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(counted, _PACKED_SQL)
-    found = back.repartition(n, "chunk").sortWithinPartitions("chunk").mapInArrow(merged, "row_key long, id_key long, spans binary")
+    packed = docs.select("row_key", "id_key", "text").mapInArrow(lean("substrings", hashed), _PACKED_SQL)
+    back = packed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(lean("substrings", counted), _PACKED_SQL)
+    found = back.repartition(n, "chunk").sortWithinPartitions("chunk").mapInArrow(lean("substrings", merged), "row_key long, id_key long, spans binary")
     return found.dropDuplicates(["row_key", "id_key"])  # equal rows have equal spans
 
 
@@ -217,8 +217,8 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
             columns = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True))], ["row", "kept", "n_words", "n_removed", "kept_sha256"])
 
-    texts = keyed.mapInArrow(shrunk, packed_schema)
-    return texts.join(repeated_spans(keyed, window), ["row_key", "id_key"], "left").select("row", "z", "spans").mapInArrow(kept, kept_schema)
+    texts = keyed.mapInArrow(lean("substrings", shrunk), packed_schema)
+    return texts.join(repeated_spans(keyed, window), ["row_key", "id_key"], "left").select("row", "z", "spans").mapInArrow(lean("substrings", kept), kept_schema)
 
 
 def without_repeats(docs: DataFrame, window: int = 35) -> DataFrame:

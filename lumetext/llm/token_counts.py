@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import id_and_text, record_batch
+from .common import id_and_text, lean, record_batch
 from .pieces import SentencePieceCounts, TokenizerPieces, loaded
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -47,4 +47,4 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 4096, batch_
                 n = [len(x) // 4 for x in loaded(TokenizerPieces, tokenizer_path).encode(texts)]
             yield record_batch(_ARROW, [ids, [len(t.encode()) for t in texts], n, [x > limit for x in n]])
 
-    return id_and_text(docs).mapInArrow(count, SCHEMA)
+    return id_and_text(docs).mapInArrow(lean("counts", count), SCHEMA)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh_path, id_and_text, partitions, record_batch
+from .common import fresh_path, id_and_text, lean, partitions, record_batch
 from .pieces import TokenizerPieces, loaded
 from .token_counts import by_bytes
 
@@ -103,7 +103,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
             got = loaded(TokenizerPieces, tokenizer_path).encode(texts)
             yield pa.RecordBatch.from_arrays([pa.array([np.frombuffer(x + end, "<u4").astype(f"<u{width}").tobytes()[:16_384] for x in got], pa.binary())], ["sample"])
 
-    sample = docs.where(F.col("doc_id").isin(picked)).mapInArrow(serialized, "sample binary").limit(sample_docs) if picked else None
+    sample = docs.where(F.col("doc_id").isin(picked)).mapInArrow(lean("files", serialized), "sample binary").limit(sample_docs) if picked else None
     dictionary = train_dictionary([bytes(r[0]) for r in sample.collect()], dictionary_size) if sample is not None else b""
     system, path = file_system(folder)
     system.create_dir(path, recursive=True)
@@ -142,8 +142,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         if now is not None:
             yield write_shard(now, *columns)
 
-    frames = docs.mapInArrow(encode, "shard int, doc_id long, n_tokens long, frame binary")
-    written = frames.repartition(partitions(spark), "shard").sortWithinPartitions("shard", "doc_id", "n_tokens", F.crc32("frame")).mapInArrow(write, "shard int, n_docs long, n_tokens long")
+    frames = docs.mapInArrow(lean("files", encode), "shard int, doc_id long, n_tokens long, frame binary")
+    written = frames.repartition(partitions(spark), "shard").sortWithinPartitions("shard", "doc_id", "n_tokens", F.crc32("frame")).mapInArrow(lean("files", write), "shard int, n_docs long, n_tokens long")
     manifest = spark.createDataFrame(written.collect(), written.schema)  # one row for each file
     return manifest.withColumn("start", F.sum("n_tokens").over(Window.orderBy("shard")) - F.col("n_tokens"))
 
@@ -166,7 +166,7 @@ def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> D
                 yield record_batch(_ROWS, [[None if i == _NO_ID else i for i in shard.doc_ids.tolist()], before, shard.n_tokens, crc])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tokens").load(folder).select("path", "content")
-    return files.mapInArrow(parse, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(lean("files", parse), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:

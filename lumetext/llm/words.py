@@ -11,6 +11,8 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 
+from .common import KEPT
+
 LONG = 1 << 18
 _SPAN = 1 << 20
 _BYTE_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -19,6 +21,7 @@ _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: Everything of ASCII but letters and digits.
 ALPHANUMERIC_GAPS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _powers: dict[int, np.ndarray] = {}
+KEPT.append(_powers)
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
