@@ -7,10 +7,13 @@ two least are taken, in the order in which the text has them, so a sample agrees
 has at most (1 - ``similarity``) x (words of the longer text) edits, by a diagonal search for few edits and a banded
 table beyond. Classes are the connected components of the links; a class's id is the least doc_id in it.
 
-Equal word sequences are one text from the start. Within a bucket each text is aligned with the bucket's leaders only
-(the least text by one of ``ORDERS`` orders, which take turns over the samples), so a bucket of n texts gives n - 1
-pairs and copies are never expanded into all pairs; a link between two members that are both unlike their leader must
-come from another of the buckets they share. Pairs of a leader with many members are dealt over several keys.
+Equal word sequences are one text from the start. Within a bucket each text is first aligned with the bucket's leader
+(the least text by one of ``ORDERS`` orders, which take turns over the samples), so a bucket of n near copies gives
+n - 1 pairs and copies are never expanded into all pairs. In buckets where that leaves members unconnected, all
+members that are not connected yet are compared with each other: first by length and counts of words in ``BINS``
+bins, which rule out only pairs that can't be alike, then by alignment. So no two texts that share a bucket and are
+alike are left in different classes. Pairs of a leader with many members are dealt over several keys, and so are
+buckets of many members.
 
 Texts of fewer than ``k`` words have one k-mer, the whole. Texts without words are alike only if they are equal. Null
 text counts as empty. Rows without doc_id get the class of their text but give no class its id. Repeated rows each
@@ -35,6 +38,7 @@ from .words import ALPHANUMERIC_GAPS, hashes, mix, spans, text_buffer, windows
 BASE = np.uint64(0xA0761D6478BD642F)
 ORDERS = 4
 FEW = 8
+BINS = 128
 _STEP = 1 << 20
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("buckets", pa.list_(pa.int64()))])
 _SKETCH_SQL = "doc_id long, row_key long, h1 long, h2 long, buckets array<long>"
@@ -204,16 +208,8 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def links(docs: DataFrame, reps: DataFrame, similarity: float, spread: int = 32) -> DataFrame:
-    """(a, b): verified pairs of representatives; reps has rep and buckets."""
-    n = partitions(docs.sparkSession)
-    rows = reps.select("rep", F.posexplode("buckets").alias("sample", "bucket")).withColumn("bucket", F.xxhash64("sample", "bucket"))
-    turn = F.pmod(F.col("sample"), F.lit(ORDERS))
-    rank = F.struct(F.when(turn == 0, F.col("rep")).otherwise(F.xxhash64("rep", turn)).alias("rank"), F.col("rep").alias("rep"))
-    groups = rows.groupBy("bucket").agg(F.min(rank).alias("least"), F.count("*").alias("n")).where("n > 1")
-    leaders = cut(groups.select("bucket", F.col("least.rep").alias("leader")))
-    pairs = rows.join(leaders, "bucket").where("rep <> leader").select(F.least("rep", "leader").alias("x"), F.greatest("rep", "leader").alias("y"), "leader", F.col("rep").alias("member"))
-    pairs = cut(pairs.groupBy("x", "y").agg(F.min(F.struct("leader", "member")).alias("p")).select("p.leader", "p.member"))
+def verified_pairs(docs: DataFrame, pairs: DataFrame, similarity: float, spread: int) -> DataFrame:
+    """(a, b): the pairs (leader, member) whose texts are alike."""
     sizes = cut(pairs.groupBy("leader").agg(F.ceil(F.count("*") / spread).cast("int").alias("shares")))
     needed = pairs.select(F.col("leader").alias("doc_id")).union(pairs.select(F.col("member").alias("doc_id"))).distinct()
 
@@ -248,6 +244,110 @@ def links(docs: DataFrame, reps: DataFrame, similarity: float, spread: int = 32)
     return members.join(heads, ["leader", "share"]).select("leader", "member", "head", "z").mapInArrow(lean("near", verified), "a long, b long")
 
 
+def histograms(docs: DataFrame) -> DataFrame:
+    """doc_id, words (their number) and bins: how many words fall into each of ``BINS`` bins, 255 at most, as bytes."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in byte_slices(batch, 1, 4 * _STEP):
+                words, counts = word_hashes(part.column(1))
+                cell = np.repeat(np.arange(part.num_rows), np.diff(counts)) * BINS + (words % np.uint64(BINS)).astype(np.int64)
+                bins = np.minimum(np.bincount(cell, minlength=part.num_rows * BINS), 255).astype(np.uint8).reshape(-1, BINS)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(counts), pa.int64()), pa.array([x.tobytes() for x in bins], pa.binary())], ["doc_id", "words", "bins"])
+
+    return docs.mapInArrow(lean("near", counted), "doc_id long, words long, bins binary")
+
+
+def near_bins(rep: np.ndarray, part: np.ndarray, component: np.ndarray, words: np.ndarray, bins: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of members of different components that their bins don't rule out; between the two parts only, if there are two.
+
+    An edit changes the counts of two words at most and the length by one, so e edits leave (sum of differences of the
+    bins + difference of the lengths) / 2 <= e; bins that hold several words or are full only lower the left side.
+    """
+    a, b = [], []
+    two = part[0] != part[-1]
+    order = np.argsort(words, kind="stable")
+    rep, part, component, words, bins = rep[order], part[order], component[order], words[order], bins[order].astype(np.int16)
+    most = ((1 - similarity) * words + 1e-9).astype(np.int64)
+    for j in range(1, len(rep)):
+        low = int(np.searchsorted(words[:j], words[j] - most[j]))
+        i = low + np.flatnonzero((component[low:j] != component[j]) & ((part[low:j] != part[j]) | (not two)))
+        if len(i):
+            apart = np.abs(bins[i] - bins[j]).sum(axis=1, dtype=np.int64) + words[j] - words[i]
+            i = i[apart <= 2 * most[j]]
+            a.append(np.minimum(rep[i], rep[j]))
+            b.append(np.maximum(rep[i], rep[j]))
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def rest(docs: DataFrame, members: DataFrame, pairs: DataFrame, found: DataFrame, similarity: float, block: int) -> DataFrame:
+    """(leader, member): the pairs of members of a bucket that ``found`` doesn't connect, that weren't compared, and that may be alike.
+
+    members: bucket, leader, rep (not the leader). Only buckets in which a member isn't connected with its leader can
+    have any. The members of a bucket are dealt over parts of about ``block``, and each two parts meet under a key.
+    """
+    n = partitions(docs.sparkSession)
+    labels = cut(components(found))
+    failed = pairs.join(found.select(F.col("a").alias("leader"), F.col("b").alias("member")), ["leader", "member"], "left_anti")
+    of = lambda name: labels.select(F.col("id").alias(name), F.col("label").alias(f"{name}_label"))
+    apart = failed.join(of("leader"), "leader", "left").join(of("member"), "member", "left").where(F.coalesce("leader_label", "leader") != F.coalesce("member_label", "member"))
+    both = cut(apart.select("leader", "member").union(apart.select(F.col("member").alias("leader"), F.col("leader").alias("member"))))
+    buckets = members.join(both.withColumnRenamed("member", "rep"), ["leader", "rep"], "left_semi").select("bucket").distinct()
+    own = members.join(buckets, "bucket", "left_semi")
+    own = cut(own.select("bucket", "rep").union(own.select("bucket", "leader").distinct()))
+    sizes = own.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 2").select("bucket", F.ceil(F.col("n") / block).cast("int").alias("parts"))
+    named = own.join(sizes, "bucket").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", "parts", F.coalesce("label", "rep").alias("component"))
+    bins = cut(histograms(docs.where("doc_id is not null").join(named.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")).groupBy(F.col("doc_id").alias("rep")).agg(F.max(F.struct("words", "bins")).alias("h")))
+    dealt = named.withColumn("part", F.pmod(F.xxhash64("rep", "bucket"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select(F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("key"), "rep", "part", "component")
+    dealt = dealt.join(bins, "rep").select("key", "rep", "part", "component", "h.words", "h.bins").repartition(n, "key").sortWithinPartitions("key", "part")
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def pairs_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+            key, rep, part, component, words = (batch.column(i).to_numpy() for i in range(5))
+            bins = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, BINS)
+            cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+            got = [near_bins(rep[s:e], part[s:e], component[s:e], words[s:e], bins[s:e], similarity) for s, e in zip(cuts, cuts[1:], strict=False) if e - s > 1]
+            both = np.unique(np.array([np.concatenate([g[i] for g in got]) if got else np.zeros(0, np.int64) for i in range(2)]), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(both[0], pa.int64()), pa.array(both[1], pa.int64())], ["leader", "member"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column(0).to_numpy()
+            last = int(np.searchsorted(key, key[-1]))
+            if last:
+                yield pairs_of(pa.concat_batches([*held, batch.slice(0, last)]))
+                held = []
+            elif held and held[0].column(0)[0].as_py() != key[0]:
+                yield pairs_of(pa.concat_batches(held))
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield pairs_of(pa.concat_batches(held))
+
+    more = dealt.mapInArrow(lean("near", met), "leader long, member long").distinct()
+    seen = pairs.select(F.least("leader", "member").alias("leader"), F.greatest("leader", "member").alias("member"))
+    return cut(more.join(seen, ["leader", "member"], "left_anti"))
+
+
+def links(docs: DataFrame, reps: DataFrame, similarity: float, spread: int = 32, block: int = 512) -> DataFrame:
+    """(a, b): verified pairs of representatives that connect all that share a bucket and are alike; reps has rep and buckets."""
+    rows = reps.select("rep", F.posexplode("buckets").alias("sample", "bucket")).withColumn("bucket", F.xxhash64("sample", "bucket"))
+    turn = F.pmod(F.col("sample"), F.lit(ORDERS))
+    rank = F.struct(F.when(turn == 0, F.col("rep")).otherwise(F.xxhash64("rep", turn)).alias("rank"), F.col("rep").alias("rep"))
+    groups = rows.groupBy("bucket").agg(F.min(rank).alias("least"), F.count("*").alias("n")).where("n > 1")
+    leaders = cut(groups.select("bucket", F.col("least.rep").alias("leader")))
+    members = cut(rows.join(leaders, "bucket").where("rep <> leader").select("bucket", "leader", "rep"))
+    pairs = members.select(F.least("rep", "leader").alias("x"), F.greatest("rep", "leader").alias("y"), "leader", F.col("rep").alias("member"))
+    pairs = cut(pairs.groupBy("x", "y").agg(F.min(F.struct("leader", "member")).alias("p")).select("p.leader", "p.member"))
+    found = cut(verified_pairs(docs, pairs, similarity, spread))
+    more = rest(docs, members, pairs, found, similarity, block)
+    return found if more.isEmpty() else found.union(cut(verified_pairs(docs, more, similarity, spread)))
+
+
 def _classed(docs: DataFrame, k: int, samples: int, similarity: float) -> DataFrame:
     rows = cut(sketches(docs, k, samples))
     reps = cut(rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("buckets").alias("buckets")))

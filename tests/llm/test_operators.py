@@ -249,6 +249,51 @@ def test_near_classes(spark, empty, odd):
     assert sum(r["text"] == "same text" for r in one) == 1 and sum(not r["text"] for r in one) == 1 and sum(r["doc_id"] is None for r in one) == 1
 
 
+def edits(a, b):
+    row = np.arange(len(b) + 1)
+    at = np.arange(len(b) + 1)
+    for i, x in enumerate(a, 1):
+        step = np.minimum(row[1:] + 1, row[:-1] + (b != x))
+        row = np.minimum.accumulate(np.concatenate([[i], step]) - at) + at
+    return int(row[-1])
+
+
+def brute_classes(texts, similarity):
+    """The classes by aligning every two texts that have a word in common."""
+    w = [np.array([zlib.crc32(x.encode()) for x in t.lower().split()]) for t in texts]
+    parent = list(range(len(w)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(w)):
+        for j in range(i):
+            long = max(len(w[i]), len(w[j]))
+            if root(i) != root(j) and sum((Counter(w[i].tolist()) & Counter(w[j].tolist())).values()) >= similarity * long - 1e-9 and edits(w[i], w[j]) <= (1 - similarity) * long + 1e-9:
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    return [root(i) for i in range(len(w))]
+
+
+def test_near_classes_of_a_template(spark):
+    """Pairs of near copies among many texts that share most of their words with all others."""
+    rng = random.Random(21)
+    template = prose(rng, 140, 5000)
+    texts = []
+    for i in range(60):
+        one = template + " " + " ".join(f"own{rng.randrange(10**7)}" for _ in range(60))
+        texts += [one, edited(rng, one, 0.05)]
+    expected = brute_classes(texts, 0.8)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(frame(spark, enumerate(texts)).repartition(4)).collect()}
+    assert len(set(expected)) == 60
+    assert [got[i] for i in range(len(texts))] == expected
+    reps = near_dedup.sketches(frame(spark, enumerate(texts)), 5, 24).selectExpr("doc_id as rep", "buckets")
+    some = near_dedup.components(near_dedup.links(frame(spark, enumerate(texts)), reps, 0.8, block=16))
+    got = {r["id"]: r["label"] for r in some.collect()}
+    assert [got.get(i, i) for i in range(len(texts))] == expected
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 130)]
