@@ -3,16 +3,17 @@
 Words are runs of bytes other than ASCII blanks, controls and punctuation, in lower case; k-mers are ``k`` consecutive
 words, labelled by their occurrence number within the text. For each of ``samples`` orders of the labelled k-mers the
 two least are taken, in the order in which the text has them, so a sample agrees for texts that share both k-mers
-*and* their order. Texts whose samples agree somewhere are candidates. A candidate is linked if its word alignment
+*and* their order. Texts of scattered edits share few k-mers, so there are further samples of fewer words for the search
+only (``SEARCH``). Texts whose samples agree somewhere are candidates. A candidate is linked if its word alignment
 has at most (1 - ``similarity``) x (words of the longer text) edits, by a diagonal search for few edits and a banded
 table beyond. Classes are the connected components of the links; a class's id is the least doc_id in it.
 
 Equal word sequences are one text from the start. Within a bucket each text is first aligned with the bucket's leader
-(the least text by one of ``ORDERS`` orders, which take turns over the samples), so a bucket of n near copies gives
+(the least text by one of ``ORDERS`` orders, which take turns over the buckets), so a bucket of n near copies gives
 n - 1 pairs and copies are never expanded into all pairs. In buckets where that leaves members unconnected, all
 members that are not connected yet are compared with each other: first by length and counts of words in ``BINS``
 bins, which rule out only pairs that can't be alike, then by alignment. So no two texts that share a bucket and are
-alike are left in different classes. Pairs of a leader with many members are dealt over several keys, and so are
+alike are left in different classes; the README has the share of alike texts that share a bucket. Pairs of a leader with many members are dealt over several keys, and so are
 buckets of many members.
 
 Texts of fewer than ``k`` words have one k-mer, the whole. Texts without words are alike only if they are equal. Null
@@ -39,6 +40,9 @@ BASE = np.uint64(0xA0761D6478BD642F)
 ORDERS = 4
 FEW = 8
 BINS = 128
+#: Words in a k-mer, fewest and most words of the texts, samples: what else texts are searched by. Ranges overlap by
+#: more than the lengths of texts that are alike can differ, for a ``similarity`` of 0.72 or more.
+SEARCH = ((1, 1, 24, 24), (2, 16, 100, 40), (3, 72, 1 << 62, 40))
 _STEP = 1 << 20
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("buckets", pa.list_(pa.int64()))])
 _SKETCH_SQL = "doc_id long, row_key long, h1 long, h2 long, buckets array<long>"
@@ -172,6 +176,23 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return most > FEW and banded(a, b, most)
 
 
+def bucket_lists(words: np.ndarray, counts: np.ndarray, k: int, samples: int) -> pa.ListArray:
+    """The buckets of each text: by k-mers of ``k`` words, and by those of ``SEARCH`` for texts of its lengths."""
+    n = np.diff(counts)
+    owners, found = [], []
+    for size, fewest, most, times in ((k, 1, 1 << 62, samples), *SEARCH):
+        own = np.flatnonzero((n >= fewest) & (n <= most))
+        inside = np.repeat((n >= fewest) & (n <= most), n)
+        grams, bounds = labelled(words[inside], np.concatenate([[0], np.cumsum(n[own])]), size)
+        got = order_min_hash(mix(grams + np.uint64(size)), bounds, times).T
+        owners.append(np.repeat(own, times))
+        found.append(np.ascontiguousarray(got).reshape(-1).view(np.int64))
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    ends = np.searchsorted(owner[order], np.arange(len(n) + 1))
+    return pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(np.concatenate(found)[order]))
+
+
 def sketches(docs: DataFrame, k: int, samples: int) -> DataFrame:
     """doc_id, row_key (hash of doc_id and text), h1, h2 (hash of the word sequence) and the buckets of every row."""
 
@@ -184,10 +205,7 @@ def sketches(docs: DataFrame, k: int, samples: int) -> DataFrame:
                 for i in range(part.num_rows):
                     own = words[counts[i] : counts[i + 1]].tobytes() or b"\0" + texts[i].as_py().encode()
                     digests[i] = np.frombuffer(hashlib.blake2b(own, digest_size=16).digest(), "<i8")
-                grams, bounds = labelled(words, counts, k)
-                found = order_min_hash(grams, bounds, samples).T.astype(np.int64, casting="unsafe", copy=False)
-                full = np.diff(bounds) > 0
-                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(full * samples)]).astype(np.int32), pa.array(np.ascontiguousarray(found).reshape(-1).view(np.int64)))
+                lists = bucket_lists(words, counts, k, samples)
                 yield record_batch(_SKETCH, [part.column(0), part.column(2), digests[:, 0], digests[:, 1], lists])
 
     return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key")).mapInArrow(lean("near", sketched), _SKETCH_SQL)
@@ -335,8 +353,8 @@ def rest(docs: DataFrame, members: DataFrame, pairs: DataFrame, found: DataFrame
 
 def links(docs: DataFrame, reps: DataFrame, similarity: float, spread: int = 32, block: int = 512) -> DataFrame:
     """(a, b): verified pairs of representatives that connect all that share a bucket and are alike; reps has rep and buckets."""
-    rows = reps.select("rep", F.posexplode("buckets").alias("sample", "bucket")).withColumn("bucket", F.xxhash64("sample", "bucket"))
-    turn = F.pmod(F.col("sample"), F.lit(ORDERS))
+    rows = reps.select("rep", F.explode("buckets").alias("bucket"))
+    turn = F.pmod(F.col("bucket"), F.lit(ORDERS))
     rank = F.struct(F.when(turn == 0, F.col("rep")).otherwise(F.xxhash64("rep", turn)).alias("rank"), F.col("rep").alias("rep"))
     groups = rows.groupBy("bucket").agg(F.min(rank).alias("least"), F.count("*").alias("n")).where("n > 1")
     leaders = cut(groups.select("bucket", F.col("least.rep").alias("leader")))

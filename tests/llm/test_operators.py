@@ -294,6 +294,26 @@ def test_near_classes_of_a_template(spark):
     assert [got.get(i, i) for i in range(len(texts))] == expected
 
 
+@pytest.mark.parametrize("similarity", [0.8, 0.85])
+def test_near_recall(spark, similarity):
+    """Texts that are only just alike, by scattered changes."""
+    rng = random.Random(31)
+    texts, pairs = [], 0
+    for n in [5, 12, 20, 60, 100, 300]:
+        changes = int((1 - similarity) * n + 1e-9)
+        for _ in range(60 if changes else 0):
+            one = prose(rng, n, 50_000).split()
+            two = list(one)
+            for k in rng.sample(range(n), changes):
+                two[k] = f"n{rng.randrange(10**7)}"
+            assert edits(np.array(one), np.array(two)) <= (1 - similarity) * n + 1e-9
+            texts += [" ".join(one), " ".join(two)]
+            pairs += 1
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(frame(spark, enumerate(texts)).repartition(4)).collect()}
+    assert sum(got[2 * i] == got[2 * i + 1] for i in range(pairs)) >= 0.99 * pairs
+    assert len(set(got.values())) >= pairs
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 130)]
