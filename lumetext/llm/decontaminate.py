@@ -7,14 +7,18 @@
    the leading right singular vectors of the TF-IDF passages.
 2. Search. Windows of the texts (16, 32 or 64 words, by the length of the benchmark item, at steps of 8 or 16 words)
    are projected to the latent space, scaled to equal variance; windows whose cosine with an item is at least
-   ``cosine`` are candidates. Windows with far less TF-IDF weight than the lightest item can't hold one. Items of
-   over 48 words are searched by pieces.
+   ``cosine`` are candidates; windows with far less TF-IDF weight than the lightest item are passed over there. Items
+   of over 48 words are searched by pieces. What the cosine passes over is found by
+   the words themselves: a stretch that holds ``common`` of an item's n words also holds all but (1 - ``common``) x n
+   of any of them, so of its rarest words a known number stands close together (``anchored``). That loses nothing
+   that the check lets through, whatever the words beside it.
 3. Check. The longest common subsequence of the item and the text around the window (1.5 times the item's length)
    must cover ``common`` of the item, and that with its answer (the last sentence, or the last quarter if it has just
    one) ``answer`` of the answer, which lets paraphrases through that change some words.
 
 Words are runs of bytes other than ASCII blanks, controls and punctuation, in lower case. The benchmark is taken in
 blocks of ``block_items`` items, each with its own vocabulary. Null and empty texts and items match nothing.
+The cosine given is that of the best window, or of the stretch itself where only the words led to it.
 Repeated rows each get their rows. Empty tables give no rows. No text is shortened and no candidate is dropped.
 """
 
@@ -39,6 +43,7 @@ _LEAKS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine",
 _LEAKS_SQL = "doc_id long, item_id long, cosine double, common double, answer double"
 _SLOTS = 20
 _SLICE = 2_000_000
+CLOSE = 0.25  # of an item's words, how many rare ones must stand close together
 
 
 def answer_start(text: str, n_words: int) -> int:
@@ -164,6 +169,7 @@ class Space:
         self.rows = np.vstack([np.column_stack([self.project, self.idf]), np.zeros(self.project.shape[1] + 1)]).astype(np.float32)
         # the item pieces of each scale, unit length; their items; the least weight
         self.scales = []
+        self.units: list[np.ndarray] = []
         pieces: list[list] = [[] for _ in SCALES]
         for k, (_, words, _) in enumerate(items.items):
             longest = SCALES[-1][0]
@@ -175,6 +181,9 @@ class Space:
             if own:
                 v = np.array([p[1] for p in own])
                 self.scales.append((blocks, step, np.array([p[0] for p in own]), v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12), 0.5 * min(p[2] for p in own)))
+        for k in range(len(items.items)):
+            v = np.array([p[1] for own in pieces for p in own if p[0] == k])
+            self.units.append(v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12))
         self.lengths = np.array([len(w) for _, w, _ in items.items], dtype=np.int64)
         self.answers = np.array([start for *_, start in items.items], dtype=np.int64)
         # bit i of masks[item, word]: the item's i-th word is this one; no bits for words that the benchmark hasn't
@@ -215,6 +224,54 @@ class Space:
                 from_word = counts[t] + (s[w] - first[t]) * BLOCK
                 yield t, of[p], from_word, np.minimum(from_word + blocks * BLOCK, counts[t + 1]), like[w, p].astype(np.float64)
 
+    def anchors(self, common: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first entry of each vocabulary number and of the end, items of the entries, least entries that a stretch must hold of each item).
+
+        Of an item's n words a stretch must hold m = ``common`` x n. So of its n - m + t rarest it holds at least t.
+        """
+        least, word, item = np.zeros(len(self.lengths), dtype=np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k, (_, words, _) in enumerate(self.items.items):
+            n = len(words)
+            need = min(n, max(1, int(np.ceil(common * n - 1e-9))))
+            least[k] = min(need, max(1, round(CLOSE * n)))
+            rare = words[np.argsort(-self.idf[words], kind="stable")[: n - need + least[k]]]
+            word.append(rare)
+            item.append(np.full(len(rare), k))
+        word, item = np.concatenate(word), np.concatenate(item)
+        order = np.argsort(word, kind="stable")
+        return np.searchsorted(word[order], np.arange(len(self.items.vocabulary) + 1)), item[order], least
+
+    def anchored(self, number: np.ndarray, counts: np.ndarray, common: float) -> Iterator[tuple[np.ndarray, ...]]:
+        """Arrays (text, item, first and end of the words): where enough rare words of an item stand within one and a half times its length."""
+        first, of, least = self.anchors(common)
+        known = np.flatnonzero(number >= 0)
+        times = first[number[known] + 1] - first[number[known]]
+        ends = np.cumsum(times)
+        # whole texts at a time
+        texts, cuts = len(counts) - 1, [0]
+        before = np.concatenate([[0], ends])[np.searchsorted(known, counts)]
+        while cuts[-1] < texts:
+            cuts.append(max(cuts[-1] + 1, int(np.searchsorted(before, before[cuts[-1]] + 1_000_000, side="right")) - 1))
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            low, high = np.searchsorted(known, counts[[a, b]])
+            each = times[low:high]
+            total = int(each.sum())
+            if not total:
+                continue
+            at = np.repeat(known[low:high], each)
+            item = of[np.repeat(first[number[known[low:high]]] - (np.cumsum(each) - each), each) + np.arange(total)]
+            text = np.searchsorted(counts, at, side="right") - 1
+            order = np.argsort(item.astype(np.int32), kind="stable")  # texts and words of an item stay in order
+            at, item, text = at[order], item[order], text[order]
+            last = np.arange(total) + least[item] - 1
+            inside = np.flatnonzero(last < total)
+            end = last[inside]
+            good = (item[end] == item[inside]) & (text[end] == text[inside]) & (at[end] - at[inside] < self.lengths[item[inside]] + self.lengths[item[inside]] // 2)
+            inside, end = inside[good], end[good]
+            for c in range(0, len(inside), 100_000):
+                i, e = inside[c : c + 100_000], end[c : c + 100_000]
+                yield text[i], item[i], at[i], at[e] + 1
+
     def present(self, item: np.ndarray, number: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Share of the items' words that stretches of words hold at all: no subsequence in common can be longer."""
         out = np.ones(len(item))
@@ -258,15 +315,11 @@ def leaks_of(space: Space, texts: pa.Array, cosine: float, common: float, answer
     words, counts = word_hashes(texts)
     number = space.items.numbers(words)
     out: dict[tuple[int, int], tuple[float, float, float]] = {}
-    for text, item, a, b, like in space.candidates(number, counts, cosine):
-        around = space.lengths[item] // 2
-        held = space.present(item, number, np.maximum(a - around, counts[text]), np.minimum(b + around, counts[text + 1])) >= common
-        text, item, a, b, like = text[held], item[held], a[held], b[held], like[held]
-        # stretches of one and a half times the item around the window, at steps of a quarter of the item
+
+    def grid(text: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray, like: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(text, item, first word, end, cosine) of stretches of one and a half times the item, at steps low to high of a quarter of the item, each once."""
         n = space.lengths[item]
         step = np.maximum(1, n // 4)
-        low = np.maximum(a - n // 2 - counts[text], 0) // step
-        high = np.maximum(np.minimum(b + n // 2, counts[text + 1]) - counts[text] - n, 0) // step
         times = np.maximum(high - low, 0) + 1
         row = np.repeat(np.arange(len(text)), times)
         j = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
@@ -276,12 +329,38 @@ def leaks_of(space: Space, texts: pa.Array, cosine: float, common: float, answer
         new[1:] = (j[1:] != j[:-1]) | (item[row[1:]] != item[row[:-1]]) | (text[row[1:]] != text[row[:-1]])
         row, j = row[new], j[new]
         start = counts[text[row]] + j * step[row]
-        end = np.minimum(start + n[row] + n[row] // 2, counts[text[row] + 1])
-        whole, last = space.common(item[row], number, start, end)
+        return text[row], item[row], start, np.minimum(start + n[row] + n[row] // 2, counts[text[row] + 1]), like[row]
+
+    def checked(text: np.ndarray, item: np.ndarray, start: np.ndarray, end: np.ndarray, like: np.ndarray) -> None:
+        whole, last = space.common(item, number, start, end)
         for i in np.flatnonzero((whole >= common) & (last >= answer)):
-            key, got = (int(text[row[i]]), int(item[row[i]])), (float(whole[i]), float(last[i]), float(like[row[i]]))
-            if got > out.get(key, (0.0, 0.0, 0.0)):
+            key, near = (int(text[i]), int(item[i])), float(like[i])
+            if np.isnan(near):
+                v = space.rows[number[start[i] : end[i]], :-1].sum(axis=0)
+                near = float((space.units[key[1]] @ v).max() / max(np.linalg.norm(v), 1e-12))
+            got = (float(whole[i]), float(last[i]), near)
+            if key not in out or got > out[key]:
                 out[key] = got
+
+    for text, item, a, b, like in space.candidates(number, counts, cosine):
+        around = space.lengths[item] // 2
+        held = space.present(item, number, np.maximum(a - around, counts[text]), np.minimum(b + around, counts[text + 1])) >= common
+        text, item, a, b, like = text[held], item[held], a[held], b[held], like[held]
+        n = space.lengths[item]
+        step = np.maximum(1, n // 4)
+        low = np.maximum(a - n // 2 - counts[text], 0) // step
+        high = np.maximum(np.minimum(b + n // 2, counts[text + 1]) - counts[text] - n, 0) // step
+        checked(*grid(text, item, low, high, like))
+    for text, item, a, b in space.anchored(number, counts, common):
+        n = space.lengths[item]
+        step = np.maximum(1, n // 4)
+        # the stretches with all of the words
+        low = np.maximum(-(-(b - counts[text] - n - n // 2) // step), 0)
+        high = (a - counts[text]) // step
+        some = low <= high
+        text, item, start, end, like = grid(text[some], item[some], low[some], high[some], np.full(int(some.sum()), np.nan))
+        held = space.present(item, number, start, end) >= common
+        checked(text[held], item[held], start[held], end[held], like[held])
     return out
 
 

@@ -450,6 +450,47 @@ def test_leaks(spark, empty):
     assert decontaminate.drop_contaminated(table, benchmark.limit(0)).count() == len(docs)
 
 
+def brute_leaks(docs, items, common=0.6, answer=0.5):
+    """By the longest common subsequence of every item with every stretch of every text."""
+    hashed = lambda t: near_dedup.word_hashes(pa.array([t]))[0].tolist()
+    found = set()
+    for item_id, item in items:
+        words = hashed(item)
+        n, start = len(words), decontaminate.answer_start(item, len(words))
+        full, masks = (1 << n) - 1, {}
+        for i, w in enumerate(words):
+            masks[w] = masks.get(w, 0) | 1 << i
+        for doc_id, text in docs:
+            body = hashed(text)
+            for at in range(0, len(body), max(1, n // 4)):
+                v = full
+                for w in body[at : at + n + n // 2]:
+                    u = v & masks.get(w, 0)
+                    v = ((v + u) | (v - u)) & full
+                got = full & ~v
+                if got.bit_count() >= common * n and (got >> start).bit_count() >= answer * (n - start):
+                    found.add((doc_id, item_id))
+    return found
+
+
+def test_leaks_beside_stuttered_words(spark):
+    """Items in texts that repeat one of their words over and over, and with 30 to 40 % of the words replaced."""
+    rng = random.Random(12)
+    items = [(i, " ".join(rng.choice(["it", "de", f"w{rng.randrange(600)}", f"w{rng.randrange(600)}"]) for _ in range(rng.choice([12, 20, 40, 90]))) + f". The answer is x{i} y{i}") for i in range(24)]
+    docs = []
+    for i, (_, item) in enumerate(items):
+        for k, share in enumerate([0, 0, 0.3, 0.35, 0.4]):
+            one = " ".join(w if rng.random() >= share else f"n{rng.randrange(999)}" for w in item.split())
+            run = [rng.choice(["it", "de", item.split()[2]])] * rng.choice([40, 150]) if k != 2 else prose(rng, 80, 600).split()
+            docs.append((10 * i + k, " ".join([*run, one, *run])))
+    docs += [(1000 + i, prose(rng, 200, 600)) for i in range(20)]
+    expected = brute_leaks(docs, items)
+    got = decontaminate.find_leaks(frame(spark, docs).repartition(4), frame(spark, items, "item_id long, text string")).collect()
+    assert len(expected) > 60
+    assert {(r["doc_id"], r["item_id"]) for r in got} == expected
+    assert all(-1.001 <= r["cosine"] <= 1.001 for r in got)
+
+
 # Fingerprints
 
 
