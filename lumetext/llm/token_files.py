@@ -7,7 +7,9 @@ A shard file holds documents of one range of doc_id, ascending:
 
 Each frame is one document's ids (little-endian, unsigned, 2 or 4 bytes each), compressed on its own with the shared
 dictionary, so a short document is read by one seek and one frame. The dictionary is trained on the serialized ids
-of a bounded sample of documents (``sample_docs``, the ones of least hash) and lies beside the shards.
+of a bounded sample of documents (``sample_docs``, the ones of least hash) and lies beside the shards. Of a document
+of more than ``sample_bytes`` bytes of ids the sample has ``SLICES`` slices, from its start to its end, of so many
+bytes in all. The files hold every document whole.
 
 Null and empty texts have just the end id. Repeated rows are written as often as they occur; rows with a null doc_id
 come first. An empty table gives no shard. Files are written under a name of the attempt's own and then renamed, so a
@@ -35,6 +37,7 @@ from .token_counts import by_bytes
 
 MAGIC = b"LTOKENS1"
 _HEAD = struct.Struct("<8s32sQQQ")
+SLICES = 8
 _NO_ID = -(2**63)
 _FRAMES = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("frame", pa.binary())])
 _MANIFEST = pa.schema([("shard", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
@@ -56,6 +59,15 @@ def train_dictionary(samples: list[bytes], size: int) -> bytes:
         return b""
 
 
+def sampled(ids: bytes, most: int, width: int) -> bytes:
+    """``ids``, or slices from across it of ``most`` bytes in all."""
+    if len(ids) <= most:
+        return ids
+    n, each = len(ids) // width, max(1, most // SLICES // width)
+    starts = np.linspace(0, max(0, n - each), min(SLICES, max(1, most // width))).astype(np.int64) * width
+    return b"".join(ids[a : a + each * width] for a in starts.tolist())
+
+
 def _shared(dictionary: bytes) -> dict:
     return {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
 
@@ -86,7 +98,7 @@ class Shard:
         return np.frombuffer(raw, f"<u{self.width}").astype("<u4")
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, sample_docs: int = 400, dictionary_size: int = 65_536, docs_per_shard: int = 20_000, level: int = 3) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, sample_docs: int = 400, sample_bytes: int = 16_384, dictionary_size: int = 65_536, docs_per_shard: int = 20_000, level: int = 3) -> DataFrame:
     """Writes the shards and returns the manifest (shard, n_docs, n_tokens, start: tokens of all earlier shards)."""
     spark = docs.sparkSession
     docs = id_and_text(docs)
@@ -101,7 +113,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     def serialized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some, texts in by_bytes(batches, 4_000_000):
             got = loaded(TokenizerPieces, tokenizer_path).encode(texts)
-            yield pa.RecordBatch.from_arrays([pa.array([np.frombuffer(x + end, "<u4").astype(f"<u{width}").tobytes()[:16_384] for x in got], pa.binary())], ["sample"])
+            yield pa.RecordBatch.from_arrays([pa.array([sampled(np.frombuffer(x + end, "<u4").astype(f"<u{width}").tobytes(), sample_bytes, width) for x in got], pa.binary())], ["sample"])
 
     sample = docs.where(F.col("doc_id").isin(picked)).mapInArrow(lean("files", serialized), "sample binary").limit(sample_docs) if picked else None
     dictionary = train_dictionary([bytes(r[0]) for r in sample.collect()], dictionary_size) if sample is not None else b""

@@ -99,6 +99,28 @@ def test_shard_reads_one_document():
         token_files.Shard(raw, b"other")
 
 
+@pytest.mark.parametrize("width", [2, 4])
+def test_dictionary_sample_is_from_the_whole_document(width):
+    ids = np.arange(20_000, dtype=f"<u{width}")
+    got = np.frombuffer(token_files.sampled(ids.tobytes(), 4096, width), f"<u{width}")
+    assert got.nbytes <= 4096 and got[0] == 0 and got[-1] == 19_999
+    assert np.bincount(got.astype(int) * 8 // 20_000, minlength=8).min() > 0
+    assert token_files.sampled(ids[:100].tobytes(), 4096, width) == ids[:100].tobytes()
+
+
+def test_late_parts_of_documents_reach_the_dictionary(spark, tmp_path):
+    """Documents that have nothing in common but a passage at their end, far beyond the bytes that are sampled."""
+    rng = random.Random(41)
+    late = prose(rng, 3000, 10**6)
+    docs = frame(spark, [(i, prose(rng, 6000, 10**6) + " " + late) for i in range(24)])
+    path = public_tokenizers.path("word_bpe_49k.json")
+    token_files.write_token_files(docs, str(tmp_path), path, dictionary_size=16_384)
+    passage = np.array(ids_of("word_bpe_49k.json", [late])[0], dtype="<u2")
+    held = (tmp_path / "dictionary").read_bytes()
+    hits = sum(passage[k : k + 24].tobytes() in held for k in range(len(passage) - 24))
+    assert hits > 100
+
+
 # Packing
 
 
