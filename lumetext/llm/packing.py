@@ -7,7 +7,8 @@ the histogram allows. Each piece then finds its place from its rank among the pi
 counts by (partition, length): no task sees more than a partition and no global sort takes place.
 
 Null and empty texts are one token (the end id). A longer document than ``capacity`` is cut into pieces of
-``capacity`` tokens, its first piece being shorter if need be. Repeated rows are packed as often as they occur.
+``capacity`` tokens, its first piece being shorter if need be. Repeated rows and rows without
+doc_id are packed as often as they occur. An empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -20,15 +21,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import cut, id_and_text, lean, record_batch
 from .pieces import TokenizerPieces, loaded
 from .token_counts import by_bytes
 
-_PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, place int"
-_PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("place", pa.int32())])
+_PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, place long"
+_PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("place", pa.int64())])
 _PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 _PLACED_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
@@ -104,22 +104,26 @@ def slots(bins: list[tuple[int, tuple[int, ...]]]) -> dict[int, np.ndarray]:
 
 def encode_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int | None, batch_bytes: int = 4_000_000) -> DataFrame:
     """A row for each piece, with its partition and its rank among the pieces of its length there. To be materialised."""
-    end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         for ids, texts in by_bytes(batches, batch_bytes):
-            rows = []
-            for doc_id, got in zip(ids, loaded(TokenizerPieces, tokenizer_path).encode(texts), strict=True):
-                got += end
-                n, start, piece = len(got) // 4, 0, 0
-                while start < n:
-                    length = (n - start) % capacity or capacity
-                    rows.append((doc_id, piece, start, length, zlib.crc32(got[4 * start : 4 * (start + length)]), part, seen[length]))
-                    seen[length] += 1
-                    start += length
-                    piece += 1
-            yield record_batch(_PIECES_ARROW, list(zip(*rows, strict=True)) if rows else [[]] * 7)
+            got, before = loaded(TokenizerPieces, tokenizer_path).encode(texts, end_id)
+            n = np.diff(before)
+            times = -(-n // capacity)
+            doc = np.repeat(np.arange(len(n)), times)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(times) - times, times)
+            head = n[doc] - (times[doc] - 1) * capacity
+            start = np.where(piece, head + (piece - 1) * capacity, 0)
+            length = np.where(piece, capacity, head)
+            raw = memoryview(got.astype("<u4").tobytes())
+            crc = [zlib.crc32(raw[a:b]) for a, b in zip((4 * (before[doc] + start)).tolist(), (4 * (before[doc] + start + length)).tolist(), strict=True)]
+            order = np.argsort(length, kind="stable")
+            ordered = length[order]
+            place = np.empty(len(doc), dtype=np.int64)
+            place[order] = np.arange(len(doc)) - np.searchsorted(ordered, ordered) + seen[ordered]
+            seen += np.bincount(length, minlength=capacity + 1)
+            yield record_batch(_PIECES_ARROW, [ids.take(pa.array(doc)), piece.astype(np.int32), start, length.astype(np.int32), crc, np.full(len(doc), part, dtype=np.int32), place])
 
     return id_and_text(docs).mapInArrow(lean("packing", encode), _PIECES)
 
@@ -157,7 +161,3 @@ def place_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int | None = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of ``docs``."""
     return place_pieces(cut(encode_pieces(docs, tokenizer_path, capacity, end_id)), capacity)
-
-
-def empty_schema() -> T.StructType:
-    return T._parse_datatype_string(_PLACED)

@@ -62,16 +62,36 @@ def test_counts_are_the_librarys(spark, odd, empty):
         assert token_counts.count_tokens(empty, public_tokenizers.path(name)).count() == 0
 
 
-def test_pieces_match_on_random_texts():
-    from lumetext.llm.pieces import TokenizerPieces
-
-    rng = random.Random(3)
-    letters = [*"ab0'éü ,.\n\t  ́▁<|3三\r", "<s>", "<|endoftext|>", " 's", "  "]
-    texts = ["".join(rng.choices(letters, k=rng.randint(0, 30))) for _ in range(4000)]
-    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
-        pieces = TokenizerPieces(public_tokenizers.path(name), limit=2000)
-        got = [x for a in range(0, len(texts), 500) for x in pieces.encode(texts[a : a + 500])]
-        assert [np.frombuffer(x, "<u4").tolist() for x in got] == ids_of(name, texts)
+@pytest.mark.parametrize("span", [64, 1 << 20])
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pieces_match_on_random_texts(name, span, monkeypatch):
+    """Against the library, over spans that cut texts anywhere it is safe, with a table that is emptied again and again."""
+    from lumetext.llm import pieces
+
+    monkeypatch.setattr(pieces, "_SPAN", span)
+    monkeypatch.setattr(pieces, "_KNOWN_BYTES", 5000)
+    rng = random.Random(span)
+    letters = [*"ab0'éü ,.\n\t  ́▁<|3三\r×÷İßſĿ\x1f\x00\x85 -", "<s>", "<|endoftext|>", " 's", "  ", "longword", " a", "'re", " 12", "thing.", "x" * 20]
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 30))) for _ in range(3000)]
+    texts += [" ".join(rng.choices(texts, k=40)) for _ in range(20)]
+    encoder = pieces.TokenizerPieces(public_tokenizers.path(name), limit=500)
+    for a in range(0, len(texts), 500):
+        some = texts[a : a + 500]
+        ids, before = encoder.encode(pa.array(some))
+        assert [x.tolist() for x in np.split(ids, before[1:-1])] == ids_of(name, some)
+        ids, before = encoder.encode(pa.array(some), 7)
+        assert [x.tolist() for x in np.split(ids, before[1:-1])] == [[*x, 7] for x in ids_of(name, some)]
+    assert encoder.encode(pa.array([], pa.string()))[1].tolist() == [0]
+
+
+def test_units_of_equal_hash_are_told_apart(monkeypatch):
+    from lumetext.llm import pieces
+
+    monkeypatch.setattr(pieces, "mix", lambda x: x & np.uint64(3))
+    encoder = pieces.TokenizerPieces(public_tokenizers.path("byte_bpe_50k.json"), limit=200)
+    texts = [f"a{i} b{i}, c" for i in range(60)]
+    ids, before = encoder.encode(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, before[1:-1])] == ids_of("byte_bpe_50k.json", texts)
 
 
 # Token files
@@ -92,13 +112,46 @@ def test_shard_reads_one_document():
     data = [np.arange(n, dtype="<u2") for n in (3, 0, 500)]
     dictionary = token_files.train_dictionary([np.random.default_rng(i).integers(0, 50, 400).astype("<u2").tobytes() for i in range(200)], 4096)
     write = token_files.zstandard.ZstdCompressor(**token_files._shared(dictionary))
-    raw = token_files.shard_bytes([7, 8, 9], [3, 0, 500], [write.compress(x.tobytes()) for x in data], dictionary, 2)
+    raw = token_files.shard_bytes_of([7, 8, 9], [3, 0, 500], [write.compress(x.tobytes()) for x in data], dictionary, 2)
     shard = token_files.Shard(raw, dictionary)
     assert dictionary and shard.ids(2).tolist() == data[2].tolist() and shard.ids(1).tolist() == []
+    assert [x.tolist() for x in shard.all_ids(step=1)] == [x.tolist() for x in data]
     with pytest.raises(ValueError, match="dictionary"):
         token_files.Shard(raw, b"other")
 
 
+def test_a_short_document_is_read_by_two_short_reads(spark, tmp_path):
+    """The index and one frame, however large the file; and a range is cut into files by bytes."""
+    rng = random.Random(17)
+    docs = frame(spark, [(i, prose(rng, 400, 10**6)) for i in range(50)]).coalesce(1)
+    name = "word_bpe_49k.json"
+    manifest = token_files.write_token_files(docs, str(tmp_path), public_tokenizers.path(name), shard_bytes=10_000).orderBy("start").collect()
+    assert len(manifest) > 4 and sum(r["n_docs"] for r in manifest) == 50 and len({r["shard"] for r in manifest}) <= 4
+    dictionary = (tmp_path / "dictionary").read_bytes()
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    row = max(manifest, key=lambda r: r["n_docs"])
+    raw = (tmp_path / row["file"]).read_bytes()
+
+    class Counted(token_files.io.BytesIO):
+        taken = 0
+
+        def read(self, n=-1):
+            self.taken += n
+            return super().read(n)
+
+    shard = token_files.Shard(Counted(raw), dictionary)
+    last = shard.n - 1
+    assert shard.ids(last).tolist() == [*ids_of(name, [texts[int(shard.doc_ids[last])]])[0], 2]
+    assert shard._source.taken < len(raw) / 2
+    got = sorted(token_files.round_trip(docs, public_tokenizers.path(name), shard_bytes=10_000).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == list(range(50)) and got[-1]["start"] == sum(r["n_tokens"] for r in got[:-1])
+
+
+def test_addresses_of_stores():
+    system, path = token_files.file_system("file:///tmp/x")
+    assert path == "/tmp/x" and token_files.file_system("/tmp/x")[1] == "/tmp/x"
+
+
 @pytest.mark.parametrize("width", [2, 4])
 def test_dictionary_sample_is_from_the_whole_document(width):
     ids = np.arange(20_000, dtype=f"<u{width}")
