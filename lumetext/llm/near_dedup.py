@@ -8,22 +8,27 @@ only (``SEARCH``). Texts whose samples agree somewhere are candidates. A candida
 has at most (1 - ``similarity``) x (words of the longer text) edits, by a diagonal search for few edits and a banded
 table beyond. Classes are the connected components of the links; a class's id is the least doc_id in it.
 
-Equal word sequences are one text from the start. Within a bucket each text is first aligned with the bucket's leader
-(the least text by one of ``ORDERS`` orders, which take turns over the buckets), so a bucket of n near copies gives
-n - 1 pairs and copies are never expanded into all pairs. In buckets where that leaves members unconnected, all
-members that are not connected yet are compared with each other: first by length and counts of words in ``BINS``
-bins, which rule out only pairs that can't be alike, then by alignment. So no two texts that share a bucket and are
-alike are left in different classes; the README has the share of alike texts that share a bucket. Pairs of a leader with many members are dealt over several keys, and so are
-buckets of many members.
+Equal word sequences are one text from the start, told apart by 128 bits of hash; each has a number of its own, whatever
+the doc_ids of its rows. Within a bucket each text is first aligned with the bucket's leader (the text of least
+number), so a bucket of n near copies gives n - 1 pairs and copies are never expanded into all pairs. Where that leaves a member unconnected, the members of the leader's buckets are compared
+with each other as far as they are not connected: those that aren't alike to the leader among themselves, and with those
+that are unless they stand too far from the leader for that (edit distance is a metric). These comparisons go by length
+by counts of hashed words, parities of hashed word pairs and the distances from the leader, which rule out only texts
+that can't be alike; what is left and shares a bucket is aligned. So no
+two texts that share a bucket and are alike are left in different classes; the README has the share of alike texts that
+share a bucket. Pairs of a leader with many members are dealt over several keys, and members that are compared with each
+other over classes of length and, beyond ``block`` of them, over parts that meet two by two.
 
 Texts of fewer than ``k`` words have one k-mer, the whole. Texts without words are alike only if they are equal. Null
-text counts as empty. Rows without doc_id get the class of their text but give no class its id. Repeated rows each
-get a row. An empty table gives no rows.
+text counts as empty. Rows without doc_id belong to the class of their text but give no class its id; a class of none
+but these has the id null. Repeated rows each get a row. Rows of one doc_id with different texts are taken by their texts. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,13 +42,16 @@ from .common import byte_slices, cut, id_and_text, lean, partitions, record_batc
 from .words import ALPHANUMERIC_GAPS, hashes, mix, spans, text_buffer, windows
 
 BASE = np.uint64(0xA0761D6478BD642F)
-ORDERS = 4
 FEW = 8
-BINS = 128
+#: An edit distance that isn't known.
+UNKNOWN = 1 << 60
+#: Leaders whose distances tell members apart.
+PIVOTS = 16
 #: Words in a k-mer, fewest and most words of the texts, samples: what else texts are searched by. Ranges overlap by
 #: more than the lengths of texts that are alike can differ, for a ``similarity`` of 0.72 or more.
 SEARCH = ((1, 1, 24, 24), (2, 16, 100, 40), (3, 72, 1 << 62, 40))
 _STEP = 1 << 20
+_BLOCK_WORDS = 3e7  # of long texts, blocks are of so many words
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("buckets", pa.list_(pa.int64()))])
 _SKETCH_SQL = "doc_id long, row_key long, h1 long, h2 long, buckets array<long>"
 _MAX = np.uint64(2**64 - 1)
@@ -97,8 +105,8 @@ def order_min_hash(grams: np.ndarray, bounds: np.ndarray, samples: int) -> np.nd
     return out
 
 
-def few_edits(a: list, b: list, most: int) -> bool | None:
-    """Is the edit distance at most ``most``? By the furthest point of each diagonal after 0, 1, ... edits."""
+def few_edits(a: list, b: list, most: int) -> int | None:
+    """The edit distance if it is at most ``most``, by the furthest point of each diagonal after 0, 1, ... edits."""
     n, m = len(a), len(b)
     far = {0: 0}
     for edits in range(most + 1):
@@ -108,17 +116,17 @@ def few_edits(a: list, b: list, most: int) -> bool | None:
                 x += 1
             far[k] = x
         if far.get(m - n, -1) >= n:
-            return True
+            return edits
         new: dict[int, int] = {}
         for k, x in far.items():
             for d, y in ((k, x + 1), (k - 1, x + 1), (k + 1, x)):
                 if y <= n and -n <= d <= m and y + d <= m and new.get(d, -1) < y:
                     new[d] = y
         far = new
-    return False
+    return None
 
 
-def banded(a: list, b: list, most: int) -> bool:
+def banded(a: list, b: list, most: int) -> int | None:
     """The same by the table's cells within ``most`` of its diagonal, a column of them in the bits of two numbers.
 
     Bit t of column j stands for row j - most + t: ``up`` and ``down`` say where a cell is one more or one less than
@@ -140,40 +148,50 @@ def banded(a: list, b: list, most: int) -> bool:
         right, left = down | full & ~(level | up), level & up
         corner += not level >> most & 1
         if corner > most_there:
-            return False
+            return None
         right, left = (right << 1 | 1) & full, left << 1 & full
         up, down = left | full & ~(level | right), right & level
     if abs(n - m) > most:
-        return False
+        return None
     low, high = sorted((m, n))
     between = ((1 << high - low) - 1) << (low - m + most + 1)
     step = (up & between).bit_count() - (down & between).bit_count()
-    return corner + (step if n > m else -step) <= most
+    edits = corner + (step if n > m else -step)
+    return edits if edits <= most else None
 
 
-def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    """Is the alignment of two word sequences at least this good?"""
-    long = max(len(a), len(b))
-    most = int((1 - similarity) * long + 1e-9)
-    if abs(len(a) - len(b)) > most:
-        return False
+def threshold(words: int, similarity: float) -> int:
+    """Edits that alike texts may be apart, the longer having so many words."""
+    return int((1 - similarity) * words + 1e-9)
+
+
+def distance(a: np.ndarray, b: np.ndarray, similarity: float, further: bool = False) -> tuple[int, int]:
+    """Bounds of the edit distance of two word sequences, equal ones if the two are alike.
+
+    ``further``: also if any text can be alike to both; such a one has at most (words of the shorter) / similarity words.
+    """
+    short, long = sorted((len(a), len(b)))
+    most = threshold(long, similarity)
+    if further:
+        between = short / similarity
+        most = max(most, int((1 - similarity) * (between + max(long, between)) + 1e-6))
     x, i = np.unique(a, return_counts=True)
     y, k = np.unique(b, return_counts=True)
     _, p, q = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    if long - np.minimum(i[p], k[q]).sum() > most:
-        return False
-    n = min(len(a), len(b))
-    differ = np.flatnonzero(a[:n] != b[:n])
-    head = int(differ[0]) if len(differ) else n
+    least = long - int(np.minimum(i[p], k[q]).sum())
+    if least > most:
+        return least, UNKNOWN
+    differ = np.flatnonzero(a[:short] != b[:short])
+    head = int(differ[0]) if len(differ) else short
     a, b = a[head:], b[head:]
     n = min(len(a), len(b))
     differ = np.flatnonzero(a[::-1][:n] != b[::-1][:n])
     tail = int(differ[0]) if len(differ) else n
-    a, b = a[: len(a) - tail], b[: len(b) - tail]
-    a, b = a.tolist(), b.tolist()
-    if few_edits(a, b, min(most, FEW)):
-        return True
-    return most > FEW and banded(a, b, most)
+    a, b = a[: len(a) - tail].tolist(), b[: len(b) - tail].tolist()
+    edits = few_edits(a, b, min(most, FEW))
+    if edits is None and most > FEW:
+        edits = banded(a, b, most)
+    return (most + 1, UNKNOWN) if edits is None else (edits, edits)
 
 
 def bucket_lists(words: np.ndarray, counts: np.ndarray, k: int, samples: int) -> pa.ListArray:
@@ -212,124 +230,187 @@ def sketches(docs: DataFrame, k: int, samples: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, label): the least id of the connected component of each end of ``edges`` (a, b)."""
-    edges = cut(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    labels = cut(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
-    while True:
-        near = edges.join(labels, edges.b == labels.id).groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "id").select("id", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        step = cut(step)
-        jump = step.join(step.select(F.col("id").alias("label"), F.col("label").alias("further")), "label", "left").select("id", F.least("label", F.coalesce("further", "label")).alias("label"), "old")
-        jump = cut(jump)
-        labels = jump.select("id", "label")
-        if jump.where("label <> old").isEmpty():
-            return labels
-
-
-def verified_pairs(docs: DataFrame, pairs: DataFrame, similarity: float, spread: int) -> DataFrame:
-    """(a, b): the pairs (leader, member) whose texts are alike."""
-    sizes = cut(pairs.groupBy("leader").agg(F.ceil(F.count("*") / spread).cast("int").alias("shares")))
-    needed = pairs.select(F.col("leader").alias("doc_id")).union(pairs.select(F.col("member").alias("doc_id"))).distinct()
+    """(id, label): for each end of ``edges`` (a, b) one of the ids of its connected component, the same for all of them.
+
+    Each end goes to the least of itself and its neighbours, which are ordered by their ids and by another hash in turns;
+    edges follow their ends, and those within one id go. Stars around their least id go in the first round, and of
+    chains, however their ids run, a constant share in each round of hashes.
+    """
+    edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    steps = []
+    while not steps or not edges.isEmpty():
+        ends = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        rank = lambda c, turn=len(steps): F.struct((F.xxhash64(c, F.lit(turn)) if turn % 2 else F.col(c)).alias("h"), F.col(c).alias("id"))
+        to = ends.groupBy("a").agg(F.min(rank("b")).alias("near")).select(F.col("a").alias("id"), F.least("near", rank("a"))["id"].alias("label"))
+        steps.append(to := cut(to))
+        moved = edges.join(to.select(F.col("id").alias("a"), F.col("label").alias("x")), "a").join(to.select(F.col("id").alias("b"), F.col("label").alias("y")), "b")
+        edges = cut(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    labels = steps.pop()
+    while steps:
+        labels = cut(steps.pop().join(labels.select(F.col("id").alias("label"), F.col("label").alias("further")), "label", "left").select("id", F.coalesce("further", "label").alias("label")))
+    return labels
+
+
+def representatives(rows: DataFrame) -> DataFrame:
+    """rep (a number), h1, h2, doc_id, row_key and buckets of each distinct word sequence of ``rows`` (see ``sketches``)."""
+    texts = rows.groupBy("h1", "h2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("least"), F.first("buckets").alias("buckets"))
+    return cut(texts.select(F.monotonically_increasing_id().alias("rep"), "h1", "h2", "least.doc_id", "least.row_key", "buckets"))
+
+
+def texts_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """rep and z, the compressed text, of each of ``reps`` (rep, doc_id, row_key)."""
 
     def shrunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         write = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([write.compress(x.as_buffer()) for x in b.column(1).cast(pa.large_binary())], pa.binary())], ["doc_id", "z"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([write.compress(x.as_buffer()) for x in b.column(2).cast(pa.large_binary())], pa.binary())], ["row_key", "id", "z"])
 
-    texts = docs.where("doc_id is not null").mapInArrow(lean("near", shrunk), "doc_id long, z binary")
-    texts = cut(texts.join(cut(needed), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("z").alias("z")))
-    members = pairs.join(sizes, "leader").select("leader", F.pmod(F.xxhash64("member"), F.col("shares")).cast("int").alias("share"), "member").join(texts.withColumnRenamed("doc_id", "member"), "member")
-    heads = sizes.join(texts.select(F.col("doc_id").alias("leader"), F.col("z").alias("head")), "leader").select("leader", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "head")
+    own = F.coalesce("doc_id", F.lit(0).cast("long")).alias("id")
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), own, "text").mapInArrow(lean("near", shrunk), "row_key long, id long, z binary")
+    return cut(texts.join(reps.select("rep", "row_key", own), ["row_key", "id"]).groupBy("rep").agg(F.max("z").alias("z")))
+
+
+def verified_pairs(texts: DataFrame, pairs: DataFrame, similarity: float, spread: int, further: bool) -> DataFrame:
+    """leader, member, low, high (see ``distance``) and alike of each of the pairs (leader, member)."""
+    sizes = cut(pairs.groupBy("leader").agg(F.ceil(F.count("*") / spread).cast("int").alias("shares")))
+    members = pairs.join(sizes, "leader").select("leader", F.pmod(F.xxhash64("member"), F.col("shares")).cast("int").alias("share"), "member").join(texts.withColumnRenamed("rep", "member"), "member")
+    heads = sizes.join(texts.select(F.col("rep").alias("leader"), F.col("z").alias("head")), "leader").select("leader", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "head")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = zstandard.ZstdDecompressor()
         for batch in batches:
             leader, member, head, z = (c.to_pylist() for c in batch.columns)
-            known: dict[int, bytes] = dict(zip(leader, head, strict=True))
-            a, b = [], []
-            for own in np.array_split(np.argsort(leader, kind="stable"), -(-batch.num_rows // 512)) if batch.num_rows else []:
-                firsts = list(dict.fromkeys(leader[i] for i in own))
-                texts = [read.decompress(known[i]).decode() for i in firsts] + [read.decompress(z[i]).decode() for i in own]
+            sizes = np.array([zstandard.frame_content_size(x) for x in z], dtype=np.int64)
+            order = np.argsort(leader, kind="stable")
+            # as many as hold about four steps of text, and one at least
+            cuts = np.flatnonzero(np.diff(np.cumsum(sizes[order]) // (4 * _STEP))) + 1
+            bounds, alike = np.zeros((2, batch.num_rows), dtype=np.int64), np.zeros(batch.num_rows, dtype=bool)
+            for own in np.split(order, cuts) if len(order) else []:
+                firsts = dict(zip((leader[i] for i in own), (head[i] for i in own), strict=True))
+                texts = [read.decompress(x).decode() for x in (*firsts.values(), *(z[i] for i in own))]
                 words, counts = word_hashes(pa.array(texts, pa.large_string()))
                 place = {i: k for k, i in enumerate(firsts)}
-                for k, i in enumerate(own):
-                    x, y = place[leader[i]], len(firsts) + k
-                    if alike(words[counts[x] : counts[x + 1]], words[counts[y] : counts[y + 1]], similarity):
-                        a.append(leader[i])
-                        b.append(member[i])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                for k, i in enumerate(own, len(firsts)):
+                    x = place[leader[i]]
+                    a, b = words[counts[x] : counts[x + 1]], words[counts[k] : counts[k + 1]]
+                    bounds[:, i] = distance(a, b, similarity, further)
+                    alike[i] = bounds[1, i] <= threshold(max(len(a), len(b)), similarity)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bounds[0]), pa.array(bounds[1]), pa.array(alike)], ["leader", "member", "low", "high", "alike"])
+
+    return cut(members.join(heads, ["leader", "share"]).select("leader", "member", "head", "z").mapInArrow(lean("near", verified), "leader long, member long, low long, high long, alike boolean"))
 
-    return members.join(heads, ["leader", "share"]).select("leader", "member", "head", "z").mapInArrow(lean("near", verified), "a long, b long")
 
+def signature(words: np.ndarray, counts: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """For each text, how many of its words fall to each of 2 ** m bins (255 at most; a bin for two words), and whether an odd number of its word pairs does to each of 2 ** m bits (two a word)."""
+    bins, bits = [], []
+    pairs, first = windows(words, counts, 2, BASE)
+    bounds = np.searchsorted(first, counts)
+    for i, n in enumerate(np.diff(counts).tolist()):
+        size = max(64, 1 << (2 * n - 1).bit_length())
+        own, couples = words[counts[i] : counts[i + 1]], pairs[bounds[i] : bounds[i + 1]]
+        bins.append(np.minimum(np.bincount((own & np.uint64(size // 4 - 1)).astype(np.int64), minlength=size // 4), 255).astype(np.uint8).tobytes())
+        bits.append(np.packbits(np.bincount((couples & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).tobytes())
+    return bins, bits
 
-def histograms(docs: DataFrame) -> DataFrame:
-    """doc_id, words (their number) and bins: how many words fall into each of ``BINS`` bins, 255 at most, as bytes."""
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def signatures(texts: DataFrame) -> DataFrame:
+    """rep, words (their number), bins and bits (see ``signature``) of texts."""
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = zstandard.ZstdDecompressor()
         for batch in batches:
-            for part in byte_slices(batch, 1, 4 * _STEP):
-                words, counts = word_hashes(part.column(1))
-                cell = np.repeat(np.arange(part.num_rows), np.diff(counts)) * BINS + (words % np.uint64(BINS)).astype(np.int64)
-                bins = np.minimum(np.bincount(cell, minlength=part.num_rows * BINS), 255).astype(np.uint8).reshape(-1, BINS)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(counts), pa.int64()), pa.array([x.tobytes() for x in bins], pa.binary())], ["doc_id", "words", "bins"])
+            for part in byte_slices(batch, 1, _STEP):
+                words, counts = word_hashes(pa.array([read.decompress(x) for x in part.column(1).to_pylist()], pa.large_binary()).cast(pa.large_string()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(counts)), *(pa.array(x, pa.binary()) for x in signature(words, counts))], ["rep", "words", "bins", "bits"])
+
+    return texts.select("rep", "z").mapInArrow(lean("near", signed), "rep long, words long, bins binary, bits binary")
+
+
+def folded(rows: list[bytes], how: np.ufunc, kind: type) -> np.ndarray:
+    """Signatures as rows of one width, the least of theirs: a place of fewer stands for several of more."""
+    size = min(map(len, rows))
+    return np.stack([how.reduce(np.frombuffer(x, np.uint8).reshape(-1, size), axis=0, dtype=kind) for x in rows])
+
+
+class Members:
+    """Some members of connected leaders: arrays, and signatures of one width, in the order of their words."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        batch = batch.sort_by("words")
+        self.rep, self.part, self.home, self.component, self.words = (np.asarray(batch.column(c)) for c in ("rep", "part", "home", "component", "words"))
+        # bounds of the distances from the leaders that most of the members have
+        leaders = batch.column("leader")
+        found, times = np.unique(np.asarray(leaders.flatten()), return_counts=True)
+        pivots = np.sort(found[np.argsort(-times, kind="stable")[:PIVOTS]])
+        row, of = np.repeat(np.arange(len(self.rep)), pc.list_value_length(leaders)), np.searchsorted(pivots, np.asarray(leaders.flatten()))
+        of[of == len(pivots)] = 0
+        some = np.flatnonzero(pivots[of] == np.asarray(leaders.flatten())) if len(pivots) else np.zeros(0, np.int64)
+        self.low, self.high = np.zeros((len(self.rep), len(pivots)), dtype=np.int64), np.full((len(self.rep), len(pivots)), UNKNOWN)
+        for name, into in (("low", self.low), ("high", self.high)):
+            into[row[some], of[some]] = np.asarray(batch.column(name).flatten())[some]
+        self.bins = folded(batch.column("bins").to_pylist(), np.add, np.int16)
+        self.bits = folded(batch.column("bits").to_pylist(), np.bitwise_xor, np.uint8).view(np.uint64)
+        self.buckets = [frozenset(x) for x in batch.column("buckets").to_pylist()]
+
+    def pairs(self, similarity: float) -> list[tuple[int, int]]:
+        """Those of different components that share a bucket and may be alike; between the two parts only, if there are two.
+
+        An edit changes the counts of two words and of four word pairs at most (two go, two come) and the length by one, so
+        e edits leave (differences of the bins + difference of the lengths) / 2 <= e; and their distances from
+        any leader differ by e at most. Two members that are both not at home meet elsewhere.
+        """
+        out = []
+        two = len(np.unique(self.part)) > 1
+        most = np.array([threshold(n, similarity) for n in self.words.tolist()])
+        for j in range(1, len(self.rep)):
+            start = int(np.searchsorted(self.words[:j], self.words[j] - most[j]))
+            i = start + np.flatnonzero((self.component[start:j] != self.component[j]) & (self.home[start:j] | self.home[j]) & ((self.part[start:j] != self.part[j]) | (not two)))
+            i = i[((self.low[i] - self.high[j] <= most[j]) & (self.low[j] - self.high[i] <= most[j])).all(axis=1)]
+            if len(i):
+                i = i[np.abs(self.bins[i] - self.bins[j]).sum(axis=1) + self.words[j] - self.words[i] <= 2 * most[j]]
+            if len(i):
+                i = i[np.bitwise_count(self.bits[i] ^ self.bits[j]).sum(axis=1, dtype=np.int64) <= 4 * most[j]]
+            out += [(int(self.rep[x]), int(self.rep[j])) for x in i.tolist() if not self.buckets[j].isdisjoint(self.buckets[x])]
+        return out
 
-    return docs.mapInArrow(lean("near", counted), "doc_id long, words long, bins binary")
 
+def rest(texts: DataFrame, members: DataFrame, states: DataFrame, labels: DataFrame, similarity: float, block: int) -> DataFrame:
+    """(leader, member): the pairs that share a bucket, aren't connected yet, weren't compared, and may be alike.
 
-def near_bins(rep: np.ndarray, part: np.ndarray, component: np.ndarray, words: np.ndarray, bins: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of members of different components that their bins don't rule out; between the two parts only, if there are two.
+    They meet with all members of the leaders that are connected with theirs, so that each pair is looked at once.
 
-    An edit changes the counts of two words at most and the length by one, so e edits leave (sum of differences of the
-    bins + difference of the lengths) / 2 <= e; bins that hold several words or are full only lower the left side.
-    """
-    a, b = [], []
-    two = part[0] != part[-1]
-    order = np.argsort(words, kind="stable")
-    rep, part, component, words, bins = rep[order], part[order], component[order], words[order], bins[order].astype(np.int16)
-    most = ((1 - similarity) * words + 1e-9).astype(np.int64)
-    for j in range(1, len(rep)):
-        low = int(np.searchsorted(words[:j], words[j] - most[j]))
-        i = low + np.flatnonzero((component[low:j] != component[j]) & ((part[low:j] != part[j]) | (not two)))
-        if len(i):
-            apart = np.abs(bins[i] - bins[j]).sum(axis=1, dtype=np.int64) + words[j] - words[i]
-            i = i[apart <= 2 * most[j]]
-            a.append(np.minimum(rep[i], rep[j]))
-            b.append(np.maximum(rep[i], rep[j]))
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-def rest(docs: DataFrame, members: DataFrame, pairs: DataFrame, found: DataFrame, similarity: float, block: int) -> DataFrame:
-    """(leader, member): the pairs of members of a bucket that ``found`` doesn't connect, that weren't compared, and that may be alike.
-
-    members: bucket, leader, rep (not the leader). Only buckets in which a member isn't connected with its leader can
-    have any. The members of a bucket are dealt over parts of about ``block``, and each two parts meet under a key.
+    members: leader, rep, buckets (those of the leader that rep shares); states: from ``verified_pairs``; labels: from
+    ``components``. Members are dealt
+    over classes of length, each of which the next shorter one visits, and parts of about ``block`` (fewer if texts are
+    long); each two parts of a class meet under a key.
     """
-    n = partitions(docs.sparkSession)
-    labels = cut(components(found))
-    failed = pairs.join(found.select(F.col("a").alias("leader"), F.col("b").alias("member")), ["leader", "member"], "left_anti")
+    n = partitions(texts.sparkSession)
     of = lambda name: labels.select(F.col("id").alias(name), F.col("label").alias(f"{name}_label"))
-    apart = failed.join(of("leader"), "leader", "left").join(of("member"), "member", "left").where(F.coalesce("leader_label", "leader") != F.coalesce("member_label", "member"))
-    both = cut(apart.select("leader", "member").union(apart.select(F.col("member").alias("leader"), F.col("leader").alias("member"))))
-    buckets = members.join(both.withColumnRenamed("member", "rep"), ["leader", "rep"], "left_semi").select("bucket").distinct()
-    own = members.join(buckets, "bucket", "left_semi")
-    own = cut(own.select("bucket", "rep").union(own.select("bucket", "leader").distinct()))
-    sizes = own.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 2").select("bucket", F.ceil(F.col("n") / block).cast("int").alias("parts"))
-    named = own.join(sizes, "bucket").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", "parts", F.coalesce("label", "rep").alias("component"))
-    bins = cut(histograms(docs.where("doc_id is not null").join(named.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")).groupBy(F.col("doc_id").alias("rep")).agg(F.max(F.struct("words", "bins")).alias("h")))
-    dealt = named.withColumn("part", F.pmod(F.xxhash64("rep", "bucket"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select(F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("key"), "rep", "part", "component")
-    dealt = dealt.join(bins, "rep").select("key", "rep", "part", "component", "h.words", "h.bins").repartition(n, "key").sortWithinPartitions("key", "part")
+    both = states.select("leader", F.col("member").alias("rep"), "low", "high", "alike").union(states.select(F.col("member").alias("leader"), F.col("leader").alias("rep"), "low", "high", "alike"))
+    placed = members.join(both, ["leader", "rep"]).join(of("leader"), "leader", "left").join(of("rep"), "rep", "left")
+    placed = cut(placed.select("leader", "rep", "buckets", "low", "high", "alike", F.coalesce("leader_label", "leader").alias("group"), F.coalesce("rep_label", "rep").alias("component")).withColumn("apart", F.col("group") != F.col("component")))
+    # members alike to a leader are of use only where one that isn't connected with it stands within reach of it
+    open_ = cut(placed.groupBy("group").agg(F.max("apart").alias("some"), F.max(F.col("apart") & (F.col("high") < UNKNOWN)).alias("near")).where("some"))
+    own = placed.join(open_, "group").where("near or not alike").groupBy("group", "rep").agg(F.first("component").alias("component"), F.flatten(F.collect_list("buckets")).alias("buckets"), F.collect_list(F.struct("leader", "low", "high")).alias("to"))
+    own = cut(own.select("group", "rep", "component", "buckets", *[F.col(f"to.{c}").alias(c) for c in ("leader", "low", "high")]))
+    signed = cut(signatures(texts.join(own.select("rep").distinct(), "rep", "left_semi")))
+    grade = F.floor(F.log(F.greatest("words", F.lit(1))) / np.log(1 / similarity) * 0.999999).cast("int") if similarity < 1 else F.col("words").cast("int")
+    graded = cut(own.join(signed.select("rep", grade.alias("grade")), "rep").select("group", "rep", "buckets", "leader", "low", "high", "component", F.col("grade").alias("own"), F.explode(F.array(F.col("grade"), F.col("grade") + 1)).alias("grade")))
+    sizes = graded.groupBy("group", "grade").agg(F.count("*").alias("n"), F.max(F.col("own") == F.col("grade")).alias("some")).where("n > 1 and some")
+    words = F.pow(F.lit(1 / similarity), F.col("grade") + 1)  # at most, in texts of the grade
+    sizes = sizes.select("group", "grade", F.ceil(F.col("n") / F.greatest(F.lit(min(block, 64)), F.least(F.lit(block), _BLOCK_WORDS / words))).cast("int").alias("parts"))
+    dealt = graded.join(sizes, ["group", "grade"]).withColumn("part", F.pmod(F.xxhash64("rep", "group"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select(F.xxhash64("group", "grade", F.least("part", "other"), F.greatest("part", "other")).alias("key"), "rep", "part", (F.col("own") == F.col("grade")).alias("home"), "leader", "low", "high", "component", "buckets")
+    dealt = dealt.join(signed, "rep").select("key", "rep", "part", "home", "component", "leader", "low", "high", "words", "bins", "bits", "buckets").repartition(n, "key").sortWithinPartitions("key", "part")
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def pairs_of(batch: pa.RecordBatch) -> pa.RecordBatch:
-            key, rep, part, component, words = (batch.column(i).to_numpy() for i in range(5))
-            bins = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, BINS)
+            key = np.asarray(batch.column(0))
             cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
-            got = [near_bins(rep[s:e], part[s:e], component[s:e], words[s:e], bins[s:e], similarity) for s, e in zip(cuts, cuts[1:], strict=False) if e - s > 1]
-            both = np.unique(np.array([np.concatenate([g[i] for g in got]) if got else np.zeros(0, np.int64) for i in range(2)]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(both[0], pa.int64()), pa.array(both[1], pa.int64())], ["leader", "member"])
+            got = {(min(x), max(x)) for s, e in zip(cuts, cuts[1:], strict=False) if e - s > 1 for x in Members(batch.slice(s, e - s)).pairs(similarity)}
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], pa.int64()) for i in range(2)], ["leader", "member"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -347,31 +428,41 @@ def rest(docs: DataFrame, members: DataFrame, pairs: DataFrame, found: DataFrame
             yield pairs_of(pa.concat_batches(held))
 
     more = dealt.mapInArrow(lean("near", met), "leader long, member long").distinct()
-    seen = pairs.select(F.least("leader", "member").alias("leader"), F.greatest("leader", "member").alias("member"))
+    seen = states.select(F.least("leader", "member").alias("leader"), F.greatest("leader", "member").alias("member"))
     return cut(more.join(seen, ["leader", "member"], "left_anti"))
 
 
-def links(docs: DataFrame, reps: DataFrame, similarity: float, spread: int = 32, block: int = 512) -> DataFrame:
-    """(a, b): verified pairs of representatives that connect all that share a bucket and are alike; reps has rep and buckets."""
+def connected(docs: DataFrame, reps: DataFrame, similarity: float, spread: int = 32, block: int = 2048) -> DataFrame:
+    """(id, label) of the representatives that are connected with others (see ``components``): all that share a bucket and are alike have one label."""
     rows = reps.select("rep", F.explode("buckets").alias("bucket"))
-    turn = F.pmod(F.col("bucket"), F.lit(ORDERS))
-    rank = F.struct(F.when(turn == 0, F.col("rep")).otherwise(F.xxhash64("rep", turn)).alias("rank"), F.col("rep").alias("rep"))
-    groups = rows.groupBy("bucket").agg(F.min(rank).alias("least"), F.count("*").alias("n")).where("n > 1")
-    leaders = cut(groups.select("bucket", F.col("least.rep").alias("leader")))
-    members = cut(rows.join(leaders, "bucket").where("rep <> leader").select("bucket", "leader", "rep"))
-    pairs = members.select(F.least("rep", "leader").alias("x"), F.greatest("rep", "leader").alias("y"), "leader", F.col("rep").alias("member"))
-    pairs = cut(pairs.groupBy("x", "y").agg(F.min(F.struct("leader", "member")).alias("p")).select("p.leader", "p.member"))
-    found = cut(verified_pairs(docs, pairs, similarity, spread))
-    more = rest(docs, members, pairs, found, similarity, block)
-    return found if more.isEmpty() else found.union(cut(verified_pairs(docs, more, similarity, spread)))
+    leaders = cut(rows.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    members = cut(rows.join(leaders, "bucket").where("rep <> leader").groupBy("leader", "rep").agg(F.collect_list("bucket").alias("buckets")))
+    pairs = members.groupBy(F.least("rep", "leader").alias("x"), F.greatest("rep", "leader").alias("y")).agg(F.min(F.struct("leader", F.col("rep").alias("member"))).alias("p"))
+    pairs = cut(pairs.select("p.leader", "p.member"))
+    some = pairs.select(F.col("leader").alias("rep")).union(pairs.select(F.col("member").alias("rep"))).distinct()
+    texts = texts_of(docs, reps.select("rep", "doc_id", "row_key").join(some, "rep", "left_semi"))
+    states = verified_pairs(texts, pairs, similarity, spread, True)
+    labels = components(states.where("alike").select(F.col("leader").alias("a"), F.col("member").alias("b")))
+    more = rest(texts, members, states, labels, similarity, block)
+    if more.isEmpty():
+        return labels
+    found = verified_pairs(texts, more, similarity, spread, False).where("alike")
+    of = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
+    found = found.join(of("leader"), "leader", "left").join(of("member"), "member", "left")
+    joined = components(found.select(F.coalesce("leader_label", "leader").alias("a"), F.coalesce("member_label", "member").alias("b")))
+    old = labels.join(joined.select(F.col("id").alias("label"), F.col("label").alias("further")), "label", "left").select("id", F.coalesce("further", "label").alias("label"))
+    return cut(old.union(joined.join(labels.select("id"), "id", "left_anti")))
 
 
 def _classed(docs: DataFrame, k: int, samples: int, similarity: float) -> DataFrame:
+    """doc_id, row_key, label (a number of the class) and class_id of every row of ``docs``."""
     rows = cut(sketches(docs, k, samples))
-    reps = cut(rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("buckets").alias("buckets")))
-    labels = components(links(docs, reps.where("rep is not null").select("rep", "buckets"), similarity))
-    named = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", F.coalesce("label", "rep").alias("class_id"))
-    return rows.select("doc_id", "row_key", "h1", "h2").join(named, ["h1", "h2"])
+    reps = representatives(rows)
+    labels = connected(docs, reps, similarity)
+    named = reps.select("rep", "h1", "h2", "doc_id").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", "doc_id", F.coalesce("label", "rep").alias("label"))
+    ids = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    named = named.drop("doc_id").join(ids, "label")
+    return rows.select("doc_id", "row_key", "h1", "h2").join(named, ["h1", "h2"]).select("doc_id", "row_key", "label", "class_id")
 
 
 def classes(docs: DataFrame, k: int = 5, samples: int = 24, similarity: float = 0.8) -> DataFrame:
@@ -381,9 +472,10 @@ def classes(docs: DataFrame, k: int = 5, samples: int = 24, similarity: float =
 
 def keep_one(docs: DataFrame, k: int = 5, samples: int = 24, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs``, all columns, that stay when one of each class does: the one of least doc_id."""
-    classed = cut(_classed(id_and_text(docs), k, samples, similarity).select("doc_id", "row_key", "class_id", F.when(F.col("class_id").isNull(), F.xxhash64("h1", "h2")).alias("alone")))
-    first = cut(classed.groupBy("class_id", "alone").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("least")).select(F.col("least.row_key").alias("row_key")))
+    classed = cut(_classed(id_and_text(docs), k, samples, similarity).select("doc_id", "row_key", "label"))
+    first = cut(classed.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("least")).select(F.col("least.row_key").alias("row_key")))
     repeated = classed.groupBy("row_key").count().where("count > 1").join(first, "row_key", "left_semi")
     key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    kept = docs.join(first.select(F.col("row_key").alias("kept_row_key")), key == F.col("kept_row_key"), "left_semi")
+    own = f"row_key_{uuid.uuid4().hex}"  # no column of the documents
+    kept = docs.join(first.select(F.col("row_key").alias(own)), key == F.col(own), "left_semi")
     return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])

@@ -298,7 +298,7 @@ def test_alignment():
             for j, y in enumerate(b, 1):
                 last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
         for most in range(12):
-            assert near_dedup.few_edits(a, b, most) == near_dedup.banded(a, b, most) == (row[-1] <= most)
+            assert near_dedup.few_edits(a, b, most) == near_dedup.banded(a, b, most) == (row[-1] if row[-1] <= most else None)
 
 
 def edited(rng, text, share):
@@ -363,10 +363,77 @@ def test_near_classes_of_a_template(spark):
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(frame(spark, enumerate(texts)).repartition(4)).collect()}
     assert len(set(expected)) == 60
     assert [got[i] for i in range(len(texts))] == expected
-    reps = near_dedup.sketches(frame(spark, enumerate(texts)), 5, 24).selectExpr("doc_id as rep", "buckets")
-    some = near_dedup.components(near_dedup.links(frame(spark, enumerate(texts)), reps, 0.8, block=16))
-    got = {r["id"]: r["label"] for r in some.collect()}
-    assert [got.get(i, i) for i in range(len(texts))] == expected
+    docs = frame(spark, enumerate(texts))
+    reps = near_dedup.representatives(near_dedup.sketches(docs, 5, 24))
+    some = near_dedup.connected(docs, reps, 0.8, block=16)
+    number = {r["rep"]: r["doc_id"] for r in reps.collect()}
+    got = {number[r["id"]]: r["label"] for r in some.collect()}
+    groups: dict = {}
+    for i, label in enumerate(expected):
+        groups.setdefault(label, set()).add(got.get(i, ("alone", i)))
+    assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == 60
+
+
+def test_texts_of_one_id_stay_apart(spark):
+    """Unlike texts under one doc_id, a near copy of one of them, and a column that is named as a key could be."""
+    rng = random.Random(51)
+    one, two, three = prose(rng, 80, 5000), prose(rng, 80, 5000), prose(rng, 80, 5000)
+    near = " ".join(["changed", *one.split()[1:]])
+    docs = frame(spark, [(3, one), (7, near), (7, two), (9, three), (None, two + " x")]).withColumns({"kept_row_key": F.lit(1), "row_key": F.lit(2), "rep": F.lit(3)})
+    assert sorted((r["doc_id"] or 0, r["class_id"]) for r in near_dedup.classes(docs).collect()) == [(0, 7), (3, 3), (7, 3), (7, 7), (9, 9)]
+    kept = near_dedup.keep_one(docs)
+    assert kept.columns == docs.columns and {(r["doc_id"], r["text"]) for r in kept.collect()} == {(3, one), (7, two), (9, three)}
+
+
+def test_what_signatures_rule_out_is_unlike():
+    """No pair within the threshold is ruled out, whatever the leader; and the distances hold."""
+    rng = random.Random(52)
+
+    def change(w, share):
+        w = list(w)
+        for _ in range(rng.randrange(int(share * len(w)) + 2)):
+            at = rng.randrange(len(w) + 1)
+            w[at : at + rng.randrange(2)] = [rng.randrange(12)] * rng.randrange(2)
+        return w or [1]
+
+    for _ in range(200):
+        leader = [rng.randrange(12) for _ in range(rng.choice([1, 2, 3, 10, 40, 130]))]
+        texts = [change(leader, rng.choice([0.1, 0.3, 0.6])) for _ in range(6)]
+        hashed = [np.array(w, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) for w in texts]
+        own = np.array(leader, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        bounds = []
+        for w in hashed:
+            low, high = near_dedup.distance(own, w, 0.8, True)
+            true = edits(own, w)
+            assert low <= true <= high and (true > near_dedup.threshold(max(len(own), len(w)), 0.8) or low == high)
+            bounds.append((low, high))
+        counts = np.concatenate([[0], np.cumsum([len(w) for w in hashed])])
+        bins, bits = near_dedup.signature(np.concatenate(hashed), counts)
+        n = len(texts)
+        columns = {"rep": list(range(n)), "part": [0] * n, "home": [True] * n, "component": list(range(n)), "words": np.diff(counts), "leader": [[5]] * n, "low": [[x] for x, _ in bounds], "high": [[x] for _, x in bounds], "bins": bins, "bits": bits, "buckets": [[7, i] for i in range(n)]}
+        got = {tuple(sorted(p)) for p in near_dedup.Members(pa.RecordBatch.from_pydict(columns)).pairs(0.8)}
+        for i in range(n):
+            for j in range(i):
+                if edits(hashed[i], hashed[j]) <= near_dedup.threshold(max(len(texts[i]), len(texts[j])), 0.8):
+                    assert (j, i) in got
+                    # what is alike to a text alike to the leader is within reach of the leader
+                    assert not (bounds[i][1] == near_dedup.UNKNOWN and bounds[j][1] <= near_dedup.threshold(max(len(own), len(texts[j])), 0.8))
+
+
+def test_chains_are_one_class(spark):
+    """Texts that are alike only to the one before and the one after: each step changes 15 other words of 100."""
+    rng = random.Random(53)
+    texts = []
+    for _ in range(25):
+        w = [f"w{rng.randrange(50_000)}" for _ in range(100)]
+        places = rng.sample(range(100), 100)
+        for step in range(7):
+            texts.append(" ".join(w))
+            for k in places[15 * step % 100 : 15 * step % 100 + 15]:
+                w[k] = f"n{rng.randrange(10**7)}"
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(frame(spark, enumerate(texts)).repartition(4)).collect()}
+    linked = sum(got[i] == got[i + 1] for i in range(len(texts) - 1) if i // 7 == (i + 1) // 7)
+    assert linked >= 0.98 * 25 * 6 and len(set(got.values())) >= 25
 
 
 @pytest.mark.parametrize("similarity", [0.8, 0.85])
@@ -402,7 +469,8 @@ def test_components(spark):
     for a, b in edges:
         parent[max(root(a), root(b))] = min(root(a), root(b))
     got = {r["id"]: r["label"] for r in near_dedup.components(frame(spark, edges, "a long, b long")).collect()}
-    assert all(got.get(x, x) == root(x) for x in parent)
+    assert len({(got.get(x, x), root(x)) for x in parent}) == len({got.get(x, x) for x in parent}) == len({root(x) for x in parent})
+    assert near_dedup.components(frame(spark, [], "a long, b long")).count() == 0
 
 
 # Language
