@@ -1,13 +1,15 @@
 """Substring dedup: Rabin-Karp hashes of every window of ``window`` words, counted over the whole corpus.
 
-1. Each task hashes the windows of its texts in chunks of about ``chunk_bytes`` (64-bit rolling hashes over hashed
-   words). Windows that repeat within a chunk are known there; of each distinct hash one goes on, so a very common
+1. Each task hashes the windows of its texts in chunks (a rolling hash of 64 bits over hashed words, and 24 bits of
+   another one with its own base that has to agree, too). Windows that repeat within a chunk are known there; of each distinct hash one goes on, so a very common
    passage costs one entry a chunk. The entries of a range of hashes travel as one packed row (sorted, as deltas).
-2. Hashes are counted by range. What occurs in two chunks goes back, as places in its chunks.
+2. Hashes are counted by range. What occurs in two chunks goes back, as places in its chunks. There are so many ranges
+   that one stands for about ``range_bytes`` of text, however large the input, and chunks grow with them up to a bound.
 3. Each chunk merges its repeated windows into maximal removal intervals for each document.
 4. Documents meet their intervals, and the words outside them are kept.
 
-Two different windows pass for equal only if their 64-bit hashes agree. Null and empty texts have no words and keep
+Two different windows pass for equal only if all 88 bits agree, which among 10 ** 13 windows is to be expected for 0.2
+pairs. Null and empty texts have no words and keep
 the empty string. Texts shorter than a window lose nothing. Repeated rows repeat each other's windows. A table of
 one row can still repeat within itself; an empty table gives no rows.
 """
@@ -27,11 +29,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import lean, partitions, record_batch
-from .words import hashes, spans, text_buffer, windows
+from .words import hashes, mix, spans, text_buffer, windows
 
 BASE = np.uint64(0xD1342543DE82EF95)
-_PACKED = pa.schema([("key", pa.int32()), ("chunk", pa.int64()), ("table", pa.bool_()), ("payload", pa.binary())])
-_PACKED_SQL = "key int, chunk long, table boolean, payload binary"
+CHECK_BASE = np.uint64(0xAF251AF3B0F025B5)
+_CHECK_BITS = np.uint64(24)
+_PACKED = pa.schema([("key", pa.int64()), ("chunk", pa.int64()), ("table", pa.bool_()), ("payload", pa.binary())])
+_PACKED_SQL = "key long, chunk long, table boolean, payload binary"
 _SPANS = pa.schema([("row_key", pa.int64()), ("id_key", pa.int64()), ("spans", pa.binary())])
 
 
@@ -49,34 +53,53 @@ def _unplaned(raw: bytes, at: int = 0) -> tuple[np.ndarray, int]:
     return out.reshape(-1).view("<u8") if size else np.zeros(0, np.uint64), at + n * size
 
 
+def ordered(found: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(an order in which equal pairs of hashes stand together, whether each but the first equals the one before)."""
+    order = np.argsort(found)
+    same = found[order][1:] == found[order][:-1]
+    if (same & (check[order][1:] != check[order][:-1])).any():
+        order = np.lexsort((check, found))
+        same = found[order][1:] == found[order][:-1]
+    return order, same & (check[order][1:] == check[order][:-1])
+
+
 def pack_chunk(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, window: int, bits: int) -> tuple[list[tuple[int, bytes]], bytes]:
     """((range of hashes, packed entries) ..., the chunk's table) of some texts."""
     starts, ends, counts = spans(data, offsets)
-    found, first = windows(hashes(data, starts, ends), counts, window, BASE)
-    order = np.argsort(found)
-    found, first = found[order], first[order]
+    words = hashes(data, starts, ends)
+    found, first = windows(words, counts, window, BASE)
+    check = windows(words ^ words >> np.uint64(29), counts, window, CHECK_BASE)[0] >> np.uint64(64) - _CHECK_BITS
+    order, same = ordered(found, check)
+    found, first, check = found[order], first[order], check[order]
     new = np.ones(len(found), dtype=bool)
-    new[1:] = found[1:] != found[:-1]
+    new[1:] = ~same
     twice = np.zeros(len(found), dtype=bool)
-    twice[1:] |= ~new[1:]
-    twice[:-1] |= ~new[1:]
+    twice[1:] |= same
+    twice[:-1] |= same
     table = _planes(keys.reshape(-1).view(np.uint64)) + _planes(np.diff(counts).astype(np.uint64)) + _planes(np.sort(first[twice]).astype(np.uint64))
-    found, first = found[new], first[new]
+    found, first, check = found[new], first[new], check[new]
     key = (found >> np.uint64(64 - bits)).astype(np.int64)
     out = []
-    cuts = np.searchsorted(key, np.arange((1 << bits) + 1))
-    for k in range(1 << bits):
-        a, b = cuts[k], cuts[k + 1]
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
+    for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
         if a < b:
             h = found[a:b] & np.uint64((1 << (64 - bits)) - 1)
-            out.append((k, _planes(np.diff(h, prepend=np.uint64(0))) + _planes(first[a:b].astype(np.uint64))))
+            out.append((int(key[a]), _planes(np.diff(h, prepend=np.uint64(0))) + _planes(check[a:b]) + _planes(first[a:b].astype(np.uint64))))
     return out, table
 
 
-def repeated_spans(docs: DataFrame, window: int, chunk_bytes: int = 8_000_000) -> DataFrame:
+def layout(text_bytes: int, n: int, range_bytes: int = 64_000_000) -> tuple[int, int]:
+    """(bits of the number of ranges, bytes of a chunk) for so much text over n partitions."""
+    ranges = max(256, 8 * n, -(-text_bytes // range_bytes))
+    bits = min(40, (ranges - 1).bit_length())
+    return bits, min(64_000_000, max(8_000_000, 400 << bits))
+
+
+def repeated_spans(docs: DataFrame, window: int, chunk_bytes: int | None = None) -> DataFrame:
     """row_key, id_key, spans (pairs of int64: first word, end) of each row of ``docs`` (with these keys) that repeats a window."""
     n = partitions(docs.sparkSession)
-    bits = max(8, (4 * n - 1).bit_length())
+    bits, usual = layout(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0, n)
+    chunk_bytes = chunk_bytes or usual
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
@@ -88,7 +111,7 @@ def repeated_spans(docs: DataFrame, window: int, chunk_bytes: int = 8_000_000) -
             keys = np.stack([np.concatenate([np.asarray(b.column(c)) for b in held]) for c in (0, 1)], axis=1)
             packed, table = pack_chunk(*text_buffer(texts), np.ascontiguousarray(keys), window, bits)
             chunk = (part << 24) + number
-            rows = [(k, chunk, False, x) for k, x in packed] + [(chunk % (1 << bits), chunk, True, table)]
+            rows = [(k, chunk, False, x) for k, x in packed] + [(int(mix(np.array([chunk], dtype=np.uint64))[0] >> np.uint64(64 - bits)), chunk, True, table)]
             return record_batch(_PACKED, list(zip(*rows, strict=True)))
 
         for batch in batches:
@@ -112,10 +135,14 @@ def repeated_spans(docs: DataFrame, window: int, chunk_bytes: int = 8_000_000) -
         def shared() -> pa.RecordBatch:
             places = []
             if len(entries) > 1:
-                parts = [_unplaned(x) for _, x in entries]
-                h = np.concatenate([np.cumsum(d, dtype=np.uint64) for d, _ in parts])
-                order = np.argsort(h, kind="stable")
-                same = np.diff(h[order]) == 0
+                parts, checks = [], []
+                for _, x in entries:
+                    h, at = _unplaned(x)
+                    check, at = _unplaned(x, at)
+                    parts.append((np.cumsum(h, dtype=np.uint64), at))
+                    checks.append(check.astype(np.uint32))
+                h = np.concatenate([x for x, _ in parts])
+                order, same = ordered(h, np.concatenate(checks))
                 twice = np.zeros(len(h), dtype=bool)
                 twice[order[1:][same]] = True
                 twice[order[:-1][same]] = True
@@ -192,7 +219,7 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     doc_id = F.col("doc_id").cast("long")
     keyed = docs.select(F.xxhash64(doc_id, text).alias("row_key"), F.coalesce(doc_id, F.lit(0).cast("long")).alias("id_key"), row.alias("row"), text.alias("text"))
     packed_schema = T.StructType([*keyed.schema.fields[:3], T.StructField("z", T.BinaryType())])
-    kept_schema = T.StructType([keyed.schema.fields[2], *T._parse_datatype_string("kept string, n_words long, n_removed long, kept_sha256 string").fields])
+    kept_schema = T.StructType([keyed.schema.fields[2], T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
 
     def shrunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         write = zstandard.ZstdCompressor(level=1)

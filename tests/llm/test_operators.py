@@ -275,6 +275,19 @@ def test_chunks_of_a_task(spark):
     assert one == sorted(map(tuple, substrings.repeated_spans(docs, 5, chunk_bytes=500).collect()))
 
 
+def test_windows_of_equal_hash_are_told_apart():
+    """Equal first hashes with different second ones stand apart, however they are mixed."""
+    found, check = np.array([7, 5, 7, 7, 5], dtype=np.uint64), np.array([1, 3, 2, 1, 3], dtype=np.uint64)
+    order, same = substrings.ordered(found, check)
+    pairs = list(zip(found[order].tolist(), check[order].tolist(), strict=True))
+    assert [a == b for a, b in zip(pairs, pairs[1:], strict=False)] == same.tolist() and same.sum() == 2
+
+
+def test_ranges_follow_the_input():
+    small, large = substrings.layout(10**9, 50), substrings.layout(170 * 10**12, 50)
+    assert small == (9, 8_000_000) and 170 * 10**12 >> large[0] <= 130_000_000 and large[1] == 64_000_000
+
+
 def test_word_hashes():
     texts = ["a bc\tb", "", " a\nabc ", "b" * 300_000 + " a", "x\x0by"]
     data, offsets = words.text_buffer(pa.array(texts))
