@@ -39,7 +39,7 @@ FAMILIES = {
 }
 _FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 _FOLD = np.array([b if b >= 128 or chr(b).isalpha() else 0x20 for b in range(256)], dtype=np.uint8)
-_SPAN = 1 << 22
+_SPAN = 1 << 19
 
 
 def _runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

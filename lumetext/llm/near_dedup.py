@@ -216,7 +216,7 @@ def sketches(docs: DataFrame, k: int, samples: int) -> DataFrame:
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in byte_slices(batch, 1, 4 * _STEP):
+            for part in byte_slices(batch, 1, 2 * _STEP):
                 words, counts = word_hashes(part.column(1))
                 digests = np.zeros((part.num_rows, 2), dtype=np.int64)
                 texts = part.column(1)
@@ -262,7 +262,7 @@ def texts_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
 
     def shrunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         write = zstandard.ZstdCompressor(level=1)
-        for b in batches:
+        for b in (part for batch in batches for part in byte_slices(batch, 2, 4 * _STEP)):
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([write.compress(x.as_buffer()) for x in b.column(2).cast(pa.large_binary())], pa.binary())], ["row_key", "id", "z"])
 
     own = F.coalesce("doc_id", F.lit(0).cast("long")).alias("id")

@@ -99,7 +99,7 @@ class _Table:
 class TokenizerPieces:
     """Ids of whole texts by a ``tokenizers`` file: byte-level BPE that keeps spaces, or BPE with word ends that drops blanks."""
 
-    def __init__(self, path: str, limit: int = 1 << 20):
+    def __init__(self, path: str, limit: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

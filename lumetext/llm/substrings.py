@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean, partitions, record_batch
+from .common import byte_slices, lean, partitions, record_batch
 from .words import hashes, mix, spans, text_buffer, windows
 
 BASE = np.uint64(0xD1342543DE82EF95)
@@ -92,7 +92,7 @@ def layout(text_bytes: int, n: int, range_bytes: int = 64_000_000) -> tuple[int,
     """(bits of the number of ranges, bytes of a chunk) for so much text over n partitions."""
     ranges = max(256, 8 * n, -(-text_bytes // range_bytes))
     bits = min(40, (ranges - 1).bit_length())
-    return bits, min(64_000_000, max(8_000_000, 400 << bits))
+    return bits, min(64_000_000, max(4_000_000, 400 << bits))
 
 
 def repeated_spans(docs: DataFrame, window: int, chunk_bytes: int | None = None) -> DataFrame:
@@ -223,12 +223,12 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
 
     def shrunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         write = zstandard.ZstdCompressor(level=1)
-        for b in batches:
+        for b in (part for batch in batches for part in byte_slices(batch, 3, 4_000_000)):
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([write.compress(x.as_buffer()) for x in b.column(3).cast(pa.large_binary())], pa.binary())], ["row_key", "id_key", "row", "z"])
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = zstandard.ZstdDecompressor()
-        for b in batches:
+        for b in (part for batch in batches for part in byte_slices(batch, 1, 1_000_000)):
             out = []
             for z, raw in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 words = read.decompress(z).split()

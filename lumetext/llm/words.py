@@ -13,8 +13,8 @@ import pyarrow as pa
 
 from .common import KEPT
 
-LONG = 1 << 18
-_SPAN = 1 << 20
+LONG = 1 << 16
+_SPAN = 1 << 17  # bytes, or words, that are hashed at a time
 _BYTE_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -98,14 +98,18 @@ def windows(words: np.ndarray, counts: np.ndarray, size: int, base: np.uint64) -
 
     counts: number of words before each text and in all, from ``spans``.
     """
-    n = len(words)
-    if n < size:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    run = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(words * powers(base, n), out=run[1:])
-    inside = np.zeros(n + 1, dtype=np.int8)
+    inside = np.zeros(len(words) + 1, dtype=np.int8)
     long = np.diff(counts) >= size
     inside[counts[:-1][long]] += 1
     inside[counts[1:][long] - size + 1] -= 1
     first = np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int8))
-    return mix((run[first + size] - run[first]) * powers(inverse(base), n)[first]), first
+    out = np.empty(len(first), dtype=np.uint64)
+    forth, back = powers(base, _SPAN + size), powers(inverse(base), _SPAN)
+    for a in range(0, len(words), _SPAN):
+        own = words[a : a + _SPAN + size]
+        run = np.zeros(len(own) + 1, dtype=np.uint64)
+        np.cumsum(own * forth[: len(own)], out=run[1:])
+        low, high = np.searchsorted(first, (a, a + _SPAN))
+        at = first[low:high] - a
+        out[low:high] = mix((run[at + size] - run[at]) * back[at])
+    return out, first
