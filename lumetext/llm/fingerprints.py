@@ -6,9 +6,10 @@ whole (``merged``), and two sketches estimate resemblance, containment and the n
 exact for texts of at most ``k`` distinct shingles.
 
 ``fingerprint_edits`` also needs the next document in descending doc_id order. Documents go to blocks of about
-``block`` neighbouring ids, so one exchange of the texts brings neighbours together; only the first document of a
+``block`` neighbouring ids, evenly within each of ``SEGMENTS`` quantiles of the ids, so that ids far from all others
+don't widen the blocks of these. One exchange of the texts brings neighbours together; only the first document of a
 block is sent on, to the end of the block before. Null text: empty. Rows of one doc_id follow in order of their
-text; rows without doc_id come last. A table of one document is its own next one.
+text; rows without doc_id come last. A table of one document is its own next one. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from .common import id_and_text, partitions
 
 K = 256
 WORDS = 5
+SEGMENTS = 256
 
 
 def _bind(value: Column, f) -> Column:
@@ -72,13 +74,25 @@ def _following(blocks: DataFrame, fan: int = 65_536) -> DataFrame:
     return inner.join(ring, "g").select("block", F.coalesce("inner", "outer").alias("following"))
 
 
+def blocks(docs: DataFrame, block: int) -> Column:
+    """The block of a doc_id: a number that never falls as the ids rise; rows without doc_id have the least."""
+    low, high, n, cuts = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id"), F.percentile_approx("doc_id", [k / SEGMENTS for k in range(1, SEGMENTS)], 100 * SEGMENTS)).first()
+    none = F.lit(-(2**62))
+    if not n:
+        return none
+    first = sorted({low, *(c + 1 for c in cuts if c < high)})
+    ends = [*first[1:], high + 1]
+    widths = [max(1, (e - a) * block * len(first) // n) for a, e in zip(first, ends, strict=True)]
+    segment = F.size(F.filter(F.array(*map(F.lit, first)), lambda a: a <= F.col("doc_id")))
+    of = lambda numbers: F.get(F.array(*[F.lit(x).cast("long") for x in numbers]), segment - 1)
+    return F.when(F.col("doc_id").isNull(), none).otherwise(segment.cast("long") * (1 << 40) + F.floor((F.col("doc_id") - of(first)) / of(widths)))
+
+
 def fingerprint_edits(docs: DataFrame, k: int = K, block: int = 64) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     spark = docs.sparkSession
     docs = id_and_text(docs)
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
-    width = max(1, (high - low + 1) * block // n) if n else 1
-    number = F.coalesce(F.expr(f"doc_id div {width}"), F.lit(-(2**62)))
+    number = blocks(docs, block)
     dealt = docs.withColumn("block", number).repartition(max(partitions(spark), 8), "block")
     order = Window.partitionBy("block").orderBy(F.desc_nulls_last("doc_id"), F.desc("text"))
     heads = dealt.groupBy("block").agg(F.max(F.struct("doc_id", "text")).alias("head")).select(F.col("block").alias("following"), F.col("head.text").alias("head_text"))

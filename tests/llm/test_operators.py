@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -575,6 +576,20 @@ def test_extract(spark):
     assert html_text.main_text(deep) == "deep text here, and more of it"
 
 
+@pytest.mark.parametrize("part", ["<b>", "<a ", "<header>", "<table><i>", "<p class='x ", '<a "', "</script ", "<!", "<div><span>"])
+def test_time_of_odd_pages_is_linear(part):
+    """100,000 tags that are never closed, with end tags of nothing after them."""
+    page = part * 100_000 + "</i>" * 100_000 + "<p>text</p>"
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 20
+
+
+def test_comments_that_never_end():
+    assert html_text.main_text("<p>a</p><!-- b <p>c</p> d") == "a"
+    assert html_text.main_text("<p>a</p><p>b < c <= d</p> e <f") == "a\nb < c <= d\ne <f"
+
+
 # Decontamination
 
 
@@ -676,6 +691,16 @@ def test_fingerprints(spark, empty):
     assert len(twice) == 3 and len({r["fingerprint"] for r in twice if r["doc_id"] == 3}) == 1
 
 
+def test_far_ids_do_not_widen_blocks(spark):
+    rows = [(i, "a b") for i in range(2000)] + [(10**15, "c"), (-(10**15), "d"), (None, "e")]
+    docs = frame(spark, rows)
+    got = docs.select("doc_id", fingerprints.blocks(docs, 64).alias("block")).orderBy(F.col("doc_id").asc_nulls_first()).collect()
+    assert [r["block"] for r in got] == sorted(r["block"] for r in got)
+    assert max(Counter(r["block"] for r in got).values()) <= 130
+    after = {r["doc_id"]: r for r in fingerprints.fingerprint_edits(docs).collect()}
+    assert len(after) == len(rows) and after[10**15]["near_next"] == 0.0 and after[5]["near_next"] == 1.0
+
+
 def test_sketch_estimates(spark):
     rng = random.Random(13)
     a = prose(rng, 3000, 10**6)
