@@ -48,6 +48,8 @@ def row_minima(a: Column, b: Column) -> Column:
     return _fold(a, b)["low"]
 
 
-def within(a: Column, b: Column, most: Column) -> Column:
-    """Can the distance be at most ``most``? By lengths and the built-in distance, which is at most twice this one."""
+def within(a: Column, b: Column, most: Column | int) -> Column:
+    """Can the distance be at most ``most``? By lengths and the built-in distance, which is at most twice this one and stops there if ``most`` is a number."""
+    if isinstance(most, int):
+        return (F.abs(F.length(a) - F.length(b)) <= most) & (F.levenshtein(a, b, 2 * most) >= 0)
     return (F.abs(F.length(a) - F.length(b)) <= most) & (F.levenshtein(a, b) <= 2 * most)

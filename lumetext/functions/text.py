@@ -95,8 +95,12 @@ def tokens(text: Column) -> Column:
 
 
 def is_searchable(token: Column, stopwords: list[str], min_length: int = MIN_TOKEN) -> Column:
+    """Long enough, and its accent-free form no stopword. Accents are taken off only where there can be any: beyond ASCII, and up to the longest stopword's length."""
     long = F.length(token) >= min_length
-    return long & ~without_accents(token).isin(stopwords) if stopwords else long
+    if not stopwords:
+        return long
+    accented = (F.octet_length(token) != F.length(token)) & (F.length(token) <= max(map(len, stopwords)))
+    return long & ~token.isin(stopwords) & ~(accented & without_accents(token).isin(stopwords))
 
 
 def without_stopwords(words: Column, stopwords: list[str], min_length: int = MIN_TOKEN) -> Column:

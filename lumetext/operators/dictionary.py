@@ -78,7 +78,7 @@ class Dictionary:
         if not key:
             return self.words.where("false").select("form", F.lit(0).alias("distance"), "weight")
         most = (1 if len(key) <= 4 else 2) if most is None else most
-        near = self.words.where(distance.within(F.col("key"), F.lit(key), F.lit(most))).withColumn("distance", distance.edit_distance(F.col("key"), F.lit(key)))
+        near = self.words.where(distance.within(F.col("key"), F.lit(key), most)).withColumn("distance", distance.edit_distance(F.col("key"), F.lit(key)))
         out = near.where(F.col("distance") <= most).orderBy("distance", F.desc("weight"), "key", "form").select("form", "distance", "weight")
         return out if limit is None else out.limit(limit)
 

@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from ..functions import stemming, text
 
 
+#: Forms of the asked stems that are looked for by a filter; more are joined.
+FEW_FORMS = 5000
+
+
 @dataclass(frozen=True)
 class Preprocessor:
     """What becomes a term: stopwords (accent-free), the least length, and whether terms are stemmed."""
@@ -117,8 +121,15 @@ class Index:
         """term, doc, tf of some terms. From stored tables by term; else only the tokens of these terms are counted."""
         if not stems or self.stored:
             return self.postings(stems).where(F.col("term").isin(terms))
-        forms = self.tokens.select("term").distinct().select("term", self.preprocessor.stem(F.col("term")).alias("stem")).where(F.col("stem").isin(terms))
-        return self.tokens.join(forms, "term").groupBy(F.col("stem").alias("term"), "doc").agg(F.count("*").alias("tf"))
+        # suffixes only are stripped, so a form begins as its stem does; the others needn't be stemmed
+        initial = F.substring(text.without_accents(F.col("term")), 1, 1).isin([text.fold(t)[:1] for t in terms])
+        forms = self.tokens.select("term").distinct().where(initial).select("term", self.preprocessor.stem(F.col("term")).alias("stem")).where(F.col("stem").isin(terms))
+        few = forms.limit(FEW_FORMS + 1).collect()
+        tokens = self.tokens
+        if len(few) <= FEW_FORMS:  # so many words can be part of the filter, and nothing but their occurrences is moved
+            tokens = tokens.where(F.col("term").isin([r["term"] for r in few]))
+            forms = F.broadcast(self.docs.sparkSession.createDataFrame(few, "term string, stem string"))
+        return tokens.join(forms, "term").groupBy(F.col("stem").alias("term"), "doc").agg(F.count("*").alias("tf"))
 
     def lookup(self, term: str, stems: bool = True) -> DataFrame:
         """doc, tf of one term."""

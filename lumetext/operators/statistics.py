@@ -45,6 +45,12 @@ def structure_figures(index: Index) -> DataFrame:
     return one.crossJoin(F.broadcast(stems)).crossJoin(F.broadcast(nodes)).crossJoin(F.broadcast(short)).withColumn("saving", 1 - F.col("compressed_nodes") / F.col("nodes"))  # one row each
 
 
+def character_figures(words: DataFrame) -> DataFrame:
+    """One row: characters of all distinct keys (what a plain tree would spell out without sharing), their number, and the longest."""
+    keys = words.select("key").distinct()
+    return keys.agg(F.coalesce(F.sum(F.length("key")), F.lit(0)).cast("long").alias("characters"), F.count("*").alias("keys"), F.max(F.length("key")).cast("long").alias("longest"))
+
+
 def document_summary(files: DataFrame, index: Index) -> DataFrame:
     """doc, bytes, tokens of every file; 0 tokens for those that came after the index."""
     return files.join(index.doc_lengths, "doc", "left").select("doc", "bytes", F.coalesce("dl", F.lit(0)).alias("tokens")).orderBy("doc")

@@ -92,6 +92,75 @@ def same_key_forms(spark, sf_dir):
     return _index(spark, sf_dir).vocabulary.groupBy("key").agg(F.count("*").alias("forms"), F.min("form").alias("first_form"), F.max("form").alias("last_form")).where("forms > 1")
 
 
+@_query("SELECT o_orderkey, translate(format('{:,.2f}', CAST(o_totalprice AS DOUBLE)), ',.', '.,') AS price, translate(format('{:,.0f}', CAST(o_orderkey AS DOUBLE)), ',.', '.,') AS number FROM orders")
+def number_texts(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return orders.select("o_orderkey", text.number_text(F.col("o_totalprice").cast("double"), 2).alias("price"), text.number_text(F.col("o_orderkey").cast("double")).alias("number"))
+
+
+@_query("SELECT doc_id, translate(format('{:,.1f}', octet_length(encode(text)) / 1024), ',.', '.,') || ' KB' AS size FROM documents WHERE text IS NOT NULL")
+def kilobytes(spark, sf_dir):
+    return _docs(spark, sf_dir).where("text is not null").select("doc_id", text.kilobytes_text(F.octet_length("text")).alias("size"))
+
+
+@_query("SELECT DISTINCT l_discount AS share, translate(format('{:,.1f}', CAST(l_discount AS DOUBLE) * 100), ',.', '.,') || '%' AS written FROM lineitem")
+def percentages(spark, sf_dir):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_discount").alias("share")).distinct()
+    return lines.select("share", text.percent_text(F.col("share").cast("double")).alias("written"))
+
+
+@_query("SELECT k, CASE WHEN seconds >= 1 THEN translate(format('{:,.2f}', seconds), ',.', '.,') || ' s' WHEN seconds >= 0.001 THEN translate(format('{:,.1f}', seconds * 1000), ',.', '.,') || ' ms' ELSE translate(format('{:,.1f}', seconds * 1000000), ',.', '.,') || ' µs' END AS written FROM (SELECT n_nationkey AS k, CAST(7 AS DOUBLE) * pow(CAST(10 AS DOUBLE), n_nationkey - 7) AS seconds FROM nation WHERE n_nationkey < 10)")
+def durations(spark, sf_dir):
+    keys = spark.read.parquet(f"{sf_dir}/nation.parquet").where("n_nationkey < 10").select(F.col("n_nationkey").alias("k"))
+    return keys.withColumn("seconds", F.lit(7.0) * F.pow(F.lit(10.0), F.col("k") - 7)).select("k", text.duration_text(F.col("seconds")).alias("written"))
+
+
+_NAME = "replace(lower(n_name), ' ', '_') || '_corpus.v2.txt'"
+
+
+@_query(f"SELECT n_nationkey AS k, upper(substr(t, 1, 1)) || lower(substr(t, 2)) AS title FROM (SELECT n_nationkey, replace(regexp_replace({_NAME}, '\\.[^.]*$', ''), '_', ' ') AS t FROM nation)")
+def file_titles(spark, sf_dir):
+    name = F.concat(F.translate(F.lower("n_name"), " ", "_"), F.lit("_corpus.v2.txt"))
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("k"), text.title_of(name).alias("title"))
+
+
+@_query("SELECT doc_id, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) >= 50 AS long_enough FROM documents WHERE text IS NOT NULL")
+def long_enough_articles(spark, sf_dir):
+    return _docs(spark, sf_dir).where("text is not null").select("doc_id", text.has_words(F.col("text"), 50).alias("long_enough"))
+
+
+QUESTION = "The Ention of LÉS eau, a with 42 É"
+
+
+@_query(f"SELECT CAST(row_number() OVER () AS INT) AS place, term, length(term) >= 2 AND strip_accents(term) NOT IN ({_list(STOPWORDS)}) AS searched FROM (SELECT unnest(regexp_extract_all(lower('{QUESTION}'), '[\\p{{L}}\\p{{Nl}}\\p{{No}}]+')) AS term)")
+def question_terms(spark, sf_dir):
+    own = Preprocessor(STOPWORDS)
+    terms, _ = own.query_terms(QUESTION)
+    return spark.createDataFrame([(i, t, t in terms) for i, t in enumerate(own.query_tokens(QUESTION), 1)], "place int, term string, searched boolean")
+
+
+@_query(f"WITH {_VOCAB} SELECT form, weight FROM vocab WHERE key = 'eau'")
+def forms_of_word(spark, sf_dir):
+    return Dictionary(_index(spark, sf_dir).vocabulary).forms_of("ÉAU").select("form", "weight")
+
+
+@_query(f"WITH {_VOCAB} SELECT form, key, weight FROM vocab WHERE form = 'eau'")
+def word_in_dictionary(spark, sf_dir):
+    return Dictionary(_index(spark, sf_dir).vocabulary).find(" EAU ")
+
+
+@_query(f"WITH {_VOCAB} SELECT greatest(weight, 1) AS weight, form FROM (SELECT form, weight FROM vocab UNION ALL SELECT 'palavranova', 5)")
+def dictionary_with_insertions(spark, sf_dir):
+    own = Dictionary(_index(spark, sf_dir).vocabulary)
+    known, _ = own.inserted("eau", 1)  # keeps its greater weight
+    return known.inserted("PalavraNova", 5)[0].words.select("weight", "form")
+
+
+@_query(f"WITH {_VOCAB}, k AS (SELECT DISTINCT key FROM vocab) SELECT CAST(sum(length(key)) AS BIGINT) AS characters, count(*) AS keys, max(length(key)) AS longest FROM k")
+def dictionary_characters(spark, sf_dir):
+    return statistics.character_figures(_index(spark, sf_dir).vocabulary)
+
+
 # Index
 
 
@@ -226,7 +295,7 @@ def corrected_query(spark, sf_dir):
     asked = spark.createDataFrame([(1, "ention"), (2, "thhex"), (3, "oushx")], "pos int, term string")  # the words of one query
     words = _index(spark, sf_dir).vocabulary
     unknown = F.broadcast(asked.join(words.select(F.col("form").alias("term")), "term", "left_anti"))
-    near = words.join(unknown, distance.within(F.col("key"), F.col("term"), F.lit(1))).withColumn("distance", distance.edit_distance(F.col("key"), F.col("term"))).where("distance <= 1")
+    near = words.join(unknown, distance.within(F.col("key"), F.col("term"), 1)).withColumn("distance", distance.edit_distance(F.col("key"), F.col("term"))).where("distance <= 1")
     best = near.withColumn("r", F.row_number().over(Window.partitionBy("pos").orderBy("distance", F.desc("weight"), "key", "form"))).where("r = 1").select("pos", "form")
     fixed = asked.join(best, "pos", "left").select("pos", F.coalesce("form", "term").alias("word"))
     return fixed.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda s: s["word"]), " ").alias("corrected"))
@@ -361,7 +430,11 @@ def naive_comparisons(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", sequence.naive_comparisons(F.lower("text"), SEQUENCE).alias("comparisons"))
 
 
-@_query()
+# the scan for 'anan' by hand: for each state (letters matched) and letter the comparisons that it takes and the next state, as 8 x comparisons + state
+_KMP = "CASE s % 8 WHEN 0 THEN s - s % 8 + CASE WHEN c = 'a' THEN 9 ELSE 8 END WHEN 1 THEN s - s % 8 + CASE c WHEN 'n' THEN 10 WHEN 'a' THEN 17 ELSE 16 END WHEN 2 THEN s - s % 8 + CASE WHEN c = 'a' THEN 11 ELSE 16 END ELSE s - s % 8 + CASE c WHEN 'n' THEN 10 WHEN 'a' THEN 25 ELSE 24 END END"
+
+
+@_query(f"SELECT doc_id, CASE WHEN length(text) < {len(SEQUENCE)} THEN 0 ELSE list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(lower(text), ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda s, c: {_KMP.replace(chr(39) + 'a' + chr(39), '97').replace(chr(39) + 'n' + chr(39), '110')}) // 8 END AS comparisons FROM documents")
 def kmp_comparisons(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", sequence.kmp_comparisons(F.lower("text"), SEQUENCE).alias("comparisons"))
 
