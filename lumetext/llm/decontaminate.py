@@ -17,7 +17,7 @@
    one) ``answer`` of the answer, which lets paraphrases through that change some words.
 
 Words are runs of bytes other than ASCII blanks, controls and punctuation, in lower case. The benchmark is taken in
-blocks of ``block_items`` items, each with its own vocabulary. Null and empty texts and items match nothing.
+blocks of ``block_bytes`` (see ``spaces``), each with its own vocabulary. Null and empty texts and items match nothing.
 The cosine given is that of the best window, or of the stretch itself where only the words led to it.
 Repeated rows each get their rows. Empty tables give no rows. No text is shortened and no candidate is dropped.
 """
@@ -43,6 +43,7 @@ _LEAKS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine",
 _LEAKS_SQL = "doc_id long, item_id long, cosine double, common double, answer double"
 _SLOTS = 20
 _SLICE = 2_000_000
+_LIKE = 10_000_000  # cosines at a time
 CLOSE = 0.25  # of an item's words, how many rare ones must stand close together
 
 
@@ -214,8 +215,9 @@ class Space:
             end = np.minimum(start + blocks, last[start])
             heavy = weight[end] - weight[start] >= least
             start, end = start[heavy], end[heavy]
-            for a in range(0, len(start), 50_000):
-                s, e = start[a : a + 50_000], end[a : a + 50_000]
+            many = max(256, _LIKE // len(of))
+            for a in range(0, len(start), many):
+                s, e = start[a : a + many], end[a : a + many]
                 v = (total[e] - total[s]).astype(np.float32)
                 v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
                 like = v @ unit.T
@@ -364,19 +366,23 @@ def leaks_of(space: Space, texts: pa.Array, cosine: float, common: float, answer
     return out
 
 
-def spaces(docs: DataFrame, benchmark: DataFrame, span: int = 64, block_items: int = 4096) -> Iterator[Space]:
+def spaces(docs: DataFrame, benchmark: DataFrame, span: int = 64, block_bytes: int = 64_000_000) -> Iterator[Space]:
+    """The benchmark in blocks whose table of items by words takes about ``block_bytes``, an item at least; each broadcast is bounded by that."""
     rows = benchmark.select(F.col("item_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))).orderBy(F.col("item_id"))
     block: list = []
+    vocabulary: set = set()
 
     def made() -> list[Space]:
         items = Items(block)
         return [Space(items, *statistics(docs, items, span))] if items.items else []
 
     for r in rows.toLocalIterator():
-        block.append((r[0], r[1]))
-        if len(block) == block_items:
+        words = set(word_hashes(pa.array([r[1]]))[0].tolist())
+        if block and 8 * (len(block) + 1) * len(vocabulary | words) > block_bytes:
             yield from made()
-            block = []
+            block, vocabulary = [], set()
+        block.append((r[0], r[1]))
+        vocabulary |= words
     if block:
         yield from made()
 
