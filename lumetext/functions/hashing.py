@@ -45,3 +45,25 @@ def chain_histogram(keys: DataFrame, capacity: int) -> DataFrame:
 def expected_chain(load: Column) -> Column:
     """Mean chain of the occupied buckets under a perfectly even hash."""
     return load / (1 - F.exp(-load))
+
+
+def found(table: DataFrame, key: str) -> DataFrame:
+    """value of a key in a table of (key, value); no row if it isn't there."""
+    return table.where(F.col("key") == key).select("value")
+
+
+def put(table: DataFrame, key: str, value) -> tuple[DataFrame, bool]:
+    """The table with a key's value set, and whether the key is new."""
+    new = found(table, key).isEmpty()
+    row = table.sparkSession.createDataFrame([(key, value)], table.select("key", "value").schema)
+    return table.where(F.col("key") != key).select("key", "value").unionByName(row), new
+
+
+def capacity_sweep(keys: DataFrame, capacities: list[int]) -> DataFrame:
+    """capacity, keys, load, occupied, collisions, longest, mean_chain, expected of tables that don't grow, in one pass over the keys."""
+    h = keys.select(polynomial_hash(F.col("key")).alias("h"))
+    each = h.select("h", F.explode(F.array(*[F.lit(c).cast("long") for c in capacities])).alias("capacity"))
+    chains = each.groupBy("capacity", F.pmod("h", "capacity").alias("bucket")).agg(F.count("*").alias("chain"))
+    out = chains.groupBy("capacity").agg(F.sum("chain").alias("keys"), F.count("*").alias("occupied"), F.max("chain").alias("longest"))
+    load = F.col("keys") / F.col("capacity")
+    return out.select("capacity", "keys", load.alias("load"), "occupied", (F.col("keys") - F.col("occupied")).alias("collisions"), "longest", (F.col("keys") / F.col("occupied")).alias("mean_chain"), expected_chain(load).alias("expected"))

@@ -98,33 +98,51 @@ def naive_comparisons(text: Column, pattern: str) -> Column:
     return F.when(starts <= 0, F.lit(0).cast("long")).otherwise(sum(more, starts.cast("long")))
 
 
+def kmp_steps(text: str, pattern: str, limit: int = 4000) -> Iterator[tuple[int, int, bool, int, str]]:
+    """(i, j, matched, shift, event) of a scan on the driver or in a worker: ``compare``, then ``found``, ``slide`` or ``advance`` if it led to one.
+
+    Ends at the text's end or with the comparison that reaches ``limit`` steps; none if the pattern is empty or longer.
+    """
+    fail, i, j, steps = failure_table(pattern), 0, 0, 0
+    while 0 < len(pattern) <= len(text) and i < len(text) and steps < limit:
+        same = text[i] == pattern[j]
+        yield i, j, same, i - j, "compare"
+        steps += 1
+        if same and j < len(pattern) - 1:
+            i, j = i + 1, j + 1
+            continue
+        steps += 1
+        if same:
+            yield i, j, True, i - j, "found"
+            i, j = i + 1, fail[j]
+        elif j:
+            j = fail[j - 1]
+            yield i, j, False, i - j, "slide"
+        else:
+            i += 1
+            yield i, j, False, i, "advance"
+
+
+_STEP = T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("matched", T.BooleanType()), T.StructField("shift", T.IntegerType()), T.StructField("event", T.StringType())])
+
+
 class _Trace:
     def eval(self, text: str, pattern: str, limit: int) -> Iterator[tuple]:
-        if not text or not pattern or len(pattern) > len(text):
-            return
-        fail, k, n = failure_table(pattern), 0, 0
-        for i, c in enumerate(text):
-            while n < limit:
-                same = pattern[k] == c
-                n += 1
-                if same and k + 1 == len(pattern):
-                    yield i, k, True, k + 1 - fail[k], "found"
-                    k = fail[k]
-                    break
-                if same:
-                    yield i, k, True, 0, "match"
-                    k += 1
-                    break
-                if not k:
-                    yield i, k, False, 1, "advance"
-                    break
-                yield i, k, False, k - fail[k - 1], "shift"
-                k = fail[k - 1]
-            if n >= limit:
-                return
+        if text and pattern:
+            yield from kmp_steps(text, pattern, limit)
+
+
+def kmp_trace_of(text: Column, pattern: str, limit: int = 4000) -> Column:
+    """``kmp_steps`` of each text as array<struct<i, j, matched, shift, event>>; an Arrow function, for the short texts that are shown."""
+
+    @F.pandas_udf(T.ArrayType(_STEP))
+    def traced(texts: pd.Series) -> pd.Series:
+        names = _STEP.names
+        return texts.map(lambda t: [dict(zip(names, x, strict=True)) for x in kmp_steps(t or "", pattern, limit)])
+
+    return traced(text)
 
 
 def kmp_trace() -> UserDefinedTableFunction:
     """A table function (text, pattern, limit): the steps of a scan; i, j, matched, shift, event."""
-    fields = [T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("matched", T.BooleanType()), T.StructField("shift", T.IntegerType()), T.StructField("event", T.StringType())]
-    return F.udtf(_Trace, returnType=T.StructType(fields))
+    return F.udtf(_Trace, returnType=_STEP)

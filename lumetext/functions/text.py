@@ -147,8 +147,16 @@ def title_of(name: Column) -> Column:
     return F.concat(F.upper(F.substring(stem, 1, 1)), F.lower(F.substring(stem, F.lit(2), F.length(stem))))
 
 
-def safe_name(name: Column) -> Column:
-    return without_accents(name)
+@F.pandas_udf(T.StringType())
+def safe_name(name: pd.Series) -> pd.Series:
+    """A file name in compatibility decomposition, without combining marks."""
+    return name.map(lambda n: "".join(c for c in unicodedata.normalize("NFKD", n) if not unicodedata.combining(c)), na_action="ignore")
+
+
+def common_prefix(a: Column, b: Column) -> Column:
+    """How many characters two words have in common at their beginnings."""
+    places = F.sequence(F.lit(0), F.least(F.length(a), F.length(b)))
+    return F.array_max(F.filter(places, lambda n: F.substring(a, F.lit(1), n) == F.substring(b, F.lit(1), n)))
 
 
 def cleaned_article(text: Column, closing: list[str]) -> Column:

@@ -18,8 +18,10 @@ from ..functions import distance, text
 def words_of(rows: DataFrame) -> DataFrame:
     """form, key, weight of (word, weight): the greatest weight of each spelling; blank words are left out."""
     weight = F.col("weight") if "weight" in rows.columns else F.lit(1)
-    form = text.spelling(F.col("word"))
-    return rows.select(form.alias("form"), weight.cast("long").alias("weight")).where("form <> ''").groupBy("form").agg(F.max("weight").alias("weight")).select("form", text.normalised(F.col("form")).alias("key"), "weight")
+    once = rows.select("word", weight.cast("long").alias("weight")).groupBy("word").agg(F.max("weight").alias("weight"))
+    # composing characters needs an Arrow function; each distinct word goes through it once
+    forms = once.select(text.spelling_exact(F.col("word")).alias("form"), "weight").where("form <> ''").groupBy("form").agg(F.max("weight").alias("weight"))
+    return forms.select("form", text.normalised_exact(F.col("form")).alias("key"), "weight")
 
 
 def _prefixes(key: Column, root: bool = False) -> Column:

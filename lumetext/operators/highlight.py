@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import sequence, stemming, text
+from ..functions.text import bind
 
 
 def lights_up(word: Column, stems: list[str] | None = None, prefix: str | None = None, equal: str | None = None) -> Column:
@@ -55,14 +58,30 @@ def ranges(marked: Column) -> Column:
     return F.aggregate(marked, start, step)["found"]
 
 
-def excerpt(content: Column, marked: Column, size: int = 230, before: int = 80) -> Column:
-    """About ``size`` characters from a little before the first hit on, from a word's start, with dots where it was cut."""
-    first = F.coalesce(F.get(ranges(marked), F.lit(0))["start"], F.lit(0))
+def excerpt(content: Column, mark: Callable[[Column], Column], size: int = 230, before: int = 80) -> Column:
+    """About ``size`` characters from a little before the first hit on, as segments; null if nothing lights up.
+
+    ``mark`` makes segments of a text. Cut where a blank is, if there is one; every blank character becomes a space, and
+    segments of dots tell where something was left out.
+    """
+    space = F.lit(" ")
+
+    def cut(first: Column) -> Column:
+        early = F.greatest(first["start"] - before, F.lit(0))
+        blank = F.call_function("locate", space, content, early + 1)  # the place after the blank, counted from 0
+        return bind(F.when((early > 0) & (blank > 0), blank).otherwise(early), lambda start: upto(first, start))
+
+    def upto(first: Column, start: Column) -> Column:
+        far = F.least(F.length(content), start + size)
+        back = F.call_function("locate", space, F.reverse(F.substring(content, F.lit(1), far + 1)))
+        last = F.when(back > 0, far + 1 - back).otherwise(-1)
+        end = F.when((far < F.length(content)) & (last > first["end"]), last).otherwise(far)
+        return bind(end, lambda end: shown(start, end))
 
-    def cut(at: Column) -> Column:
-        start = F.greatest(at - before, F.lit(0))
-        body = F.substring(content, start + 1, F.lit(size))
-        whole = F.when(start > 0, F.regexp_replace(body, r"(?U)^\S*\s+", "")).otherwise(body)
-        return F.concat(F.when(start > 0, "…").otherwise(""), F.trim(F.regexp_replace(whole, r"(?U)\s+", " ")), F.when(start + size < F.length(content), "…").otherwise(""))
+    def shown(start: Column, end: Column) -> Column:
+        dots = lambda t, where: F.when(where, F.array(F.struct(F.lit(t).alias("text"), F.lit(False).alias("hit")))).otherwise(F.array().cast("array<struct<text:string,hit:boolean>>"))
+        body = F.transform(mark(F.substring(content, start + 1, end - start)), lambda s: F.struct(F.regexp_replace(s["text"], r"(?U)\s", " ").alias("text"), s["hit"].alias("hit")))
+        return F.concat(dots("… ", start > 0), body, dots(" …", end < F.length(content)))
 
-    return text.bind(first, cut)
+    first = F.get(ranges(mark(content)), F.lit(0))
+    return F.when(first.isNotNull(), bind(first, cut))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import cached_property
+from time import perf_counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +70,7 @@ class Index:
     docs: DataFrame  # doc, content
     preprocessor: Preprocessor = field(default_factory=Preprocessor)
     stored: bool = False
+    seconds: dict[str, float] = field(default_factory=dict)  # of the phases of building, for a saved index
 
     @classmethod
     def of(cls, table: DataFrame, doc: str = "doc", content: str = "content", preprocessor: Preprocessor | None = None) -> Index:
@@ -150,19 +152,33 @@ class Index:
         """term, postings as a map from doc to tf."""
         return self.postings(stems).groupBy("term").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("doc", "tf")))).alias("postings"))
 
-    def saved(self, folder: str) -> Index:
-        """Writes the tables, the postings sorted by term, and returns the index over them."""
-        self.docs.write.mode("overwrite").parquet(f"{folder}/docs")
-        self.post_exact.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/post_exact")
-        stored = self.docs.sparkSession.read.parquet(f"{folder}/post_exact")
-        self.__dict__["post_exact"] = stored
-        for name in ("vocabulary", "vocabulary_stems", "post_stem", "doc_lengths"):
+    def saved(self, folder: str, contents: bool = True) -> Index:
+        """Writes the tables, the postings sorted by term, and returns the index over them, with the seconds of each phase.
+
+        Without ``contents`` the texts aren't kept, and raw sequences find nothing.
+        """
+        spark, phases = self.docs.sparkSession, {}
+
+        def write(phase: str, name: str, table: DataFrame, key: str | None = None) -> DataFrame:
+            began = perf_counter()
+            ordered = table if key is None else table.repartitionByRange(key).sortWithinPartitions(key)
+            ordered.write.mode("overwrite").parquet(f"{folder}/{name}")
+            phases[phase] = phases.get(phase, 0.0) + perf_counter() - began
+            return spark.read.parquet(f"{folder}/{name}")
+
+        write("reading", "docs", self.docs if contents else self.docs.select("doc", F.lit("").alias("content")))
+        self.__dict__["post_exact"] = write("preprocessing", "post_exact", self.post_exact, "term")
+        for name, phase in (("vocabulary", "dictionary"), ("vocabulary_stems", "dictionary"), ("post_stem", "index"), ("doc_lengths", "index")):
             self.__dict__.pop(name, None)
             table = getattr(self, name)
-            key = table.columns[0]
-            table.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(f"{folder}/{name}")
-            self.__dict__[name] = self.docs.sparkSession.read.parquet(f"{folder}/{name}")
-        return self.load(self.docs.sparkSession, folder, self.preprocessor)
+            self.__dict__[name] = write(phase, name, table, table.columns[0])
+        out = self.load(spark, folder, self.preprocessor)
+        out.seconds.update(phases)
+        return out
+
+    @property
+    def build_seconds(self) -> float:
+        return sum(self.seconds.values())
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str, preprocessor: Preprocessor | None = None) -> Index:

@@ -62,3 +62,18 @@ def compared(index: Index, terms: list[str], k: int = 5, stems: bool = True) ->
         return first.select(F.row_number().over(Window.orderBy(F.desc("score"), "doc")).alias("rank"), "doc").join(index.doc_lengths, "doc").select("rank", F.col("doc").alias(f"{name}_doc"), F.col("dl").alias(f"{name}_length"))
 
     return top(bm25(index, terms, stems), "bm25").join(top(tfidf(index, terms, stems), "tfidf"), "rank", "full_outer").orderBy("rank")
+
+
+def compared_lengths(index: Index, terms: list[str], k: int = 5, stems: bool = True) -> DataFrame:
+    """term, df, bm25_length, tfidf_length, in_all for questions of one term each: the mean length of the first k documents by either ranking, and whether the term is in every document (then TF-IDF tells none apart)."""
+    found = matched(index, list(dict.fromkeys(terms)), stems).where("avgdl > 0")
+    weights = {"bm25": bm25_weight(), "tfidf": F.col("times") * (1 + F.log10("tf")) * F.log10(F.col("n_docs") / F.col("df"))}
+
+    def top(name: str) -> DataFrame:
+        # Spark keeps k rows of a term on each side of the shuffle, so a term of all documents is no hot key
+        order = Window.partitionBy("term").orderBy(F.desc("score"), "doc")
+        best = found.select("term", "df", "n_docs", "doc", "dl", weights[name].alias("score")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
+        return best.groupBy("term").agg(F.max("df").alias("df"), F.max("n_docs").alias("n_docs"), F.avg("dl").alias(f"{name}_length"))
+
+    both = top("bm25").join(top("tfidf").select("term", "tfidf_length"), "term")
+    return both.select("term", "df", "bm25_length", "tfidf_length", (F.col("df") == F.col("n_docs")).alias("in_all"))

@@ -8,8 +8,8 @@ from time import perf_counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import sequence, text
-from . import ranking
+from ..functions import hashing, sequence, text
+from . import ranking, statistics
 from .dictionary import Dictionary
 from .index import Index
 
@@ -58,10 +58,11 @@ def sequence_hits(index: Index, pattern: str, ignore_case: bool = True, contexts
     return rows.where("size(positions) > 0").select("doc", F.size("positions").cast("long").alias("occurrences"), "positions", cut.alias("contexts")).orderBy(F.desc("occurrences"), "doc")
 
 
-def sequence_totals(index: Index, pattern: str, ignore_case: bool = True) -> DataFrame:
-    """One row: occurrences and comparisons over all documents."""
+def sequence_totals(index: Index, pattern: str, ignore_case: bool = True, method: str = "kmp") -> DataFrame:
+    """One row: occurrences and comparisons over all documents, the latter of a scan by ``kmp`` or ``naive``; both find the same."""
     target, pattern = (F.lower("content"), pattern.lower()) if ignore_case else (F.col("content"), pattern)
-    return index.docs.agg(F.coalesce(F.sum(sequence.occurrence_count(target, pattern)), F.lit(0)).alias("occurrences"), F.coalesce(F.sum(sequence.kmp_comparisons(target, pattern)), F.lit(0)).alias("comparisons"))
+    compared = {"kmp": sequence.kmp_comparisons, "naive": sequence.naive_comparisons}[method](target, pattern)
+    return index.docs.agg(F.coalesce(F.sum(sequence.occurrence_count(target, pattern)), F.lit(0)).alias("occurrences"), F.coalesce(F.sum(compared), F.lit(0)).alias("comparisons"))
 
 
 @dataclass
@@ -85,6 +86,25 @@ class Engine:
     def query_log(self) -> DataFrame:
         return self.index.docs.sparkSession.createDataFrame(self.log, "seq long, type string, text string, results long, seconds double")
 
+    def state(self) -> dict:
+        """What is there before any question: figures of the word list and of the index."""
+        own, built = self.index.preprocessor, self.index.build_seconds
+        words = statistics.lexicon_figures(self.lexicon).first().asDict() if self.lexicon else None
+        return {"lexicon": words, "index": statistics.overview(self.index).first().asDict() | {"stemming": own.stemming, "seconds": built}}
+
+    def report(self) -> dict:
+        """All figures: corpus, structures, phases of building, preprocessing, questions (by type and each), hash table of the stems."""
+        figures = statistics.overview(self.index).first().asDict()
+        log = self.query_log()
+        by_type = {r["type"]: {"questions": r["questions"], "seconds": r["seconds"], "mean": r["mean"]} for r in statistics.log_summary(log).orderBy("type").collect()}
+        memory = {k: figures.pop(k) for k in ("nodes", "compressed_nodes", "saving")}
+        keys = self.index.vocabulary_stems.select(F.col("stem").alias("key")).distinct()
+        table = hashing.table_statistics(keys, hashing.capacity_for(figures["stems"])).first().asDict()
+        return {
+            "corpus": figures, "memory": memory, "building": self.index.seconds | {"total": self.index.build_seconds}, "preprocessing": self.index.preprocessor.described(),
+            "questions": {"total": len(self.log), "by_type": by_type, "each": [{"type": t, "text": q, "results": n, "seconds": s} for _, t, q, n, s in self.log]}, "hash": table,
+        }
+
     def insert(self, word: str) -> bool:
         """A word that prefixes find, without documents."""
         self._dictionary, new = self.dictionary.inserted(word)

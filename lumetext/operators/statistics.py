@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from statistics import median
 from time import perf_counter
 
 from pyspark.sql import DataFrame
@@ -27,6 +29,16 @@ class Stopwatch:
         return self.seconds * 1e3
 
 
+def median_ms(action: Callable[[], object], runs: int = 5) -> float:
+    """The median of the milliseconds that several runs of an action take."""
+    times = []
+    for _ in range(runs):
+        with Stopwatch() as watch:
+            action()
+        times.append(watch.ms)
+    return median(times)
+
+
 def corpus_figures(index: Index) -> DataFrame:
     """One row: documents, raw_tokens, kept_tokens, reduction (share of tokens left out)."""
     raw = F.size(text.tokens(F.col("content"))).cast("long")
@@ -51,6 +63,44 @@ def character_figures(words: DataFrame) -> DataFrame:
     return keys.agg(F.coalesce(F.sum(F.length("key")), F.lit(0)).cast("long").alias("characters"), F.count("*").alias("keys"), F.max(F.length("key")).cast("long").alias("longest"))
 
 
+def overview(index: Index) -> DataFrame:
+    """One row: the figures of the corpus and of the structures over it."""
+    return corpus_figures(index).crossJoin(F.broadcast(structure_figures(index)))  # one row each
+
+
+def lexicon_figures(words: Dictionary) -> DataFrame:
+    """One row: words, nodes, height of a word list."""
+    return words.words.agg(F.count("*").alias("words")).crossJoin(F.broadcast(words.node_count())).crossJoin(F.broadcast(words.height()))  # one row each
+
+
+def stem_reuse(index: Index) -> DataFrame:
+    """One row: calls, hits, rate: how often a stemmer with a memory would have met a word before."""
+    calls, words = F.coalesce(F.sum("weight"), F.lit(0)), F.count("*")
+    return index.vocabulary.agg(calls.alias("calls"), (calls - words).alias("hits"), F.coalesce(F.try_divide((calls - words).cast("double"), calls.cast("double")), F.lit(0.0)).alias("rate"))
+
+
+def index_growth(index: Index, bounds: list) -> DataFrame:
+    """bound, documents, tokens, postings, terms of the documents up to each bound, from one pass over the postings and one over the lengths."""
+
+    def upto(rows: DataFrame, key: str, *figures) -> DataFrame:
+        place = F.explode(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: F.col(key) <= b))
+        return rows.withColumn("bound", place).groupBy("bound").agg(*figures)
+
+    lengths = upto(index.doc_lengths, "doc", F.count("*").alias("documents"), F.sum("dl").alias("tokens"))
+    posts = upto(index.post_exact, "doc", F.count("*").alias("postings"))
+    terms = upto(index.post_exact.groupBy("term").agg(F.min("doc").alias("first")), "first", F.count("*").alias("terms"))
+    return lengths.join(posts, "bound", "left").join(terms, "bound", "left").fillna(0, ["postings", "terms"]).orderBy("bound")
+
+
+def prefix_growth(words: DataFrame, prefixes: list[str], bounds: list[str], limit: int = 10) -> DataFrame:
+    """bound, compared, found, shown: over the words up to each bound, what a scan for the prefixes compares, and what they find in all and up to a limit each."""
+    place = F.explode(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: F.col("form") <= b))
+    hits = [F.coalesce(F.sum(F.startswith("key", F.lit(text.fold(p))).cast("long")), F.lit(0)) for p in prefixes]
+    counts = words.withColumn("bound", place).groupBy("bound").agg((F.count("*") * len(prefixes)).alias("compared"), F.array(*hits).alias("hits"))
+    total = lambda f: F.aggregate(F.transform("hits", f), F.lit(0).cast("long"), lambda a, n: a + n)
+    return counts.select("bound", "compared", total(lambda n: n).alias("found"), total(lambda n: F.least(n, F.lit(limit).cast("long"))).alias("shown")).orderBy("bound")
+
+
 def document_summary(files: DataFrame, index: Index) -> DataFrame:
     """doc, bytes, tokens of every file; 0 tokens for those that came after the index."""
     return files.join(index.doc_lengths, "doc", "left").select("doc", "bytes", F.coalesce("dl", F.lit(0)).alias("tokens")).orderBy("doc")

@@ -283,22 +283,39 @@ def fuzzy_terms(spark, sf_dir):
     return Dictionary(_index(spark, sf_dir).vocabulary).approximate(MISSPELT, most=1, limit=None).where("distance = 1")
 
 
-@_query(f"WITH {_STEMS} SELECT form, CAST(damerau_levenshtein(key, '{MISSPELT}') AS INT) AS distance, weight FROM vocab WHERE damerau_levenshtein(key, '{MISSPELT}') <= 1 AND form <> '{MISSPELT}' ORDER BY distance, weight DESC, key, form LIMIT 5")
+def _osa_sql(word: str, most: int | None = None) -> str:
+    """``osa``: for the first i letters of each key the row of the table of distances from the beginnings of a word, and the greatest of the least values so far."""
+    m, w = len(word), _list(word)
+    base = f"list_transform(range(0, {m} + 1), lambda j: CASE WHEN j = 0 THEN i + 1 ELSE least(line[j] + CASE WHEN substr(key, i + 1, 1) = ([{w}])[j] THEN 0 ELSE 1 END, line[j + 1] + 1, CASE WHEN i >= 1 AND j >= 2 AND substr(key, i + 1, 1) = ([{w}])[j - 1] AND substr(key, i, 1) = ([{w}])[j] THEN before[j - 1] + 1 ELSE 1000 END) END)"
+    keys = "SELECT DISTINCT key FROM vocab" + (f" WHERE abs(length(key) - {m}) <= {most}" if most is not None else "")
+    return (
+        f"osa AS (SELECT key, 0 AS i, range(0, {m} + 1) AS line, range(0, {m} + 1) AS before, CAST(0 AS BIGINT) AS worst FROM ({keys}) UNION ALL "
+        f"SELECT key, i + 1, next, line, greatest(worst, list_min(next)) FROM (SELECT *, list_transform(range(0, {m} + 1), lambda j: list_min(list_transform(range(0, j + 1), lambda k: base[k + 1] + j - k))) AS next FROM (SELECT *, {base} AS base FROM osa WHERE i < length(key)))), "
+        f"near AS (SELECT form, v.key, weight, CAST(line[{m} + 1] AS INT) AS distance FROM osa JOIN vocab v ON v.key = osa.key WHERE i = length(osa.key))"
+    )
+
+
+@_query(f"WITH RECURSIVE {_VOCAB}, {_osa_sql(MISSPELT, 2)} SELECT form, distance, weight FROM near WHERE distance <= 2")
+def fuzzy_terms_two_edits(spark, sf_dir):
+    return Dictionary(_index(spark, sf_dir).vocabulary).approximate(MISSPELT, limit=None)
+
+
+@_query(f"WITH RECURSIVE {_VOCAB}, {_osa_sql(MISSPELT, 2)} SELECT form, distance, weight FROM near WHERE distance <= 2 AND form <> '{MISSPELT}' ORDER BY distance, weight DESC, key, form LIMIT 5")
 def did_you_mean(spark, sf_dir):
     i = _index(spark, sf_dir)
-    near = Dictionary(i.vocabulary).approximate(MISSPELT, most=1, limit=None).where(F.col("form") != MISSPELT)
-    return near.orderBy("distance", F.desc("weight"), text.without_accents(F.col("form")), "form").limit(5)
+    words, _ = Dictionary(i.vocabulary).inserted("entonw", 10**9)  # leads to no document, so it is no correction
+    return search.corrections(i, words, MISSPELT)
 
 
-@_query(f"WITH {_VOCAB}, asked AS (SELECT * FROM (VALUES (1, 'ention'), (2, 'thhex'), (3, 'oushx')) q(pos, term)), near AS (SELECT pos, form, row_number() OVER (PARTITION BY pos ORDER BY damerau_levenshtein(key, term), weight DESC, key, form) AS r FROM asked JOIN vocab ON damerau_levenshtein(key, term) <= 1 WHERE term NOT IN (SELECT form FROM vocab)) SELECT string_agg(coalesce(form, term), ' ' ORDER BY pos) AS corrected FROM asked LEFT JOIN (SELECT * FROM near WHERE r = 1) USING (pos)")
+@_query(f"WITH RECURSIVE {_VOCAB}, {_osa_sql('thhex', 2)} SELECT 'ention of ' || coalesce((SELECT form FROM near WHERE distance <= 2 ORDER BY distance, weight DESC, key, form LIMIT 1), 'thhex') AS corrected")
 def corrected_query(spark, sf_dir):
-    asked = spark.createDataFrame([(1, "ention"), (2, "thhex"), (3, "oushx")], "pos int, term string")  # the words of one query
-    words = _index(spark, sf_dir).vocabulary
-    unknown = F.broadcast(asked.join(words.select(F.col("form").alias("term")), "term", "left_anti"))
-    near = words.join(unknown, distance.within(F.col("key"), F.col("term"), 1)).withColumn("distance", distance.edit_distance(F.col("key"), F.col("term"))).where("distance <= 1")
-    best = near.withColumn("r", F.row_number().over(Window.partitionBy("pos").orderBy("distance", F.desc("weight"), "key", "form"))).where("r = 1").select("pos", "form")
-    fixed = asked.join(best, "pos", "left").select("pos", F.coalesce("form", "term").alias("word"))
-    return fixed.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda s: s["word"]), " ").alias("corrected"))
+    answer = search.Engine(_index(spark, sf_dir)).word("ention of thhex")
+    return spark.createDataFrame([(answer["correction"] or answer["query"],)], "corrected string")
+
+
+@_query(f"WITH RECURSIVE {_VOCAB}, {_osa_sql(MISSPELT)} SELECT count(DISTINCT substr(key, 1, i + 1)) AS visits FROM osa WHERE i < length(key) AND worst <= 1")
+def approximate_visits(spark, sf_dir):
+    return Dictionary(_index(spark, sf_dir).vocabulary).approximate_visits(MISSPELT, 1)
 
 
 _OSA = [("algortimo", "algoritmo"), ("hahs", "hash"), ("", "abc"), ("kitten", "sitting"), ("dados", "dados")]
@@ -309,6 +326,12 @@ def edit_distances(spark, sf_dir):
     return spark.createDataFrame(_OSA, "a string, b string").select("a", "b", distance.edit_distance(F.col("a"), F.col("b")).alias("distance"))
 
 
+@_query(f"WITH {_VOCAB} SELECT DISTINCT key, list_max(list_filter(range(0, least(length(key), 8) + 1), lambda n: substr(key, 1, CAST(n AS INT)) = substr('entonces', 1, CAST(n AS INT)))) AS shared FROM vocab")
+def common_prefixes(spark, sf_dir):
+    keys = _index(spark, sf_dir).vocabulary.select("key").distinct()
+    return keys.select("key", text.common_prefix(F.col("key"), F.lit("entonces")).cast("long").alias("shared"))
+
+
 # Prefixes
 
 
@@ -393,6 +416,58 @@ def bestfirst_visits(spark, sf_dir):
     return Dictionary(_index(spark, sf_dir).vocabulary).best_first_visits(PREFIX, 10)
 
 
+@_query(f"WITH {_PATHS} SELECT least(9, (SELECT coalesce(max(length(path)), 0) FROM paths WHERE starts_with('entonxces', path)) + 1) AS comparisons")
+def descent_comparisons(spark, sf_dir):
+    return Dictionary(_index(spark, sf_dir).vocabulary).descent_comparisons("EntonXces")
+
+
+# The word list
+
+
+_LEX = "lex AS (SELECT lower(p_name) AS form, strip_accents(lower(p_name)) AS key, CAST(max(p_size) AS BIGINT) AS weight FROM part GROUP BY ALL)"
+
+
+def _lexicon(spark, sf_dir) -> Dictionary:
+    return Dictionary.of(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.upper("p_name").alias("word"), F.col("p_size").alias("weight")))
+
+
+def _lexicon_engine(spark, sf_dir) -> search.Engine:
+    return search.Engine(_index(spark, sf_dir), _lexicon(spark, sf_dir))
+
+
+@_query(f"WITH {_LEX} SELECT form, key, weight FROM lex")
+def lexicon_words(spark, sf_dir):
+    return _lexicon(spark, sf_dir).words
+
+
+@_query(f"WITH {_LEX}, w AS (SELECT form, row_number() OVER (ORDER BY key, form) AS r FROM lex WHERE starts_with(key, 's')), n AS (SELECT count(*) AS total FROM w) SELECT form, total, total > 4 AS truncated FROM w, n WHERE r <= 4")
+def lexicon_completions(spark, sf_dir):
+    answer = _lexicon_engine(spark, sf_dir).complete("S", 4)
+    return spark.createDataFrame([(w, answer["total"], answer["truncated"]) for w in answer["words"]], "form string, total long, truncated boolean")
+
+
+@_query(f"WITH RECURSIVE {_LEX}, vocab AS (SELECT * FROM lex), {_osa_sql('red widgte', 2)}, top AS (SELECT * FROM near WHERE distance <= 2 ORDER BY distance, weight DESC, key, form LIMIT 5) SELECT 'red widgte' AS word, false AS found, CAST(0 AS BIGINT) AS continuations, form AS near, distance FROM top WHERE distance > 0 UNION ALL SELECT 'red', false, (SELECT count(*) FROM lex WHERE starts_with(key, 'red')), NULL, NULL UNION ALL SELECT 'Red Widget', true, CAST(0 AS BIGINT), NULL, NULL")
+def lexicon_lookups(spark, sf_dir):
+    engine, rows = _lexicon_engine(spark, sf_dir), []
+    for word in ("red widgte", "red", "Red Widget"):
+        answer = engine.lookup(word)
+        rows += [(word, answer["found"], answer["continuations"], near, d) for near, d, *_ in answer["near"] or [(None, None)]]
+    return spark.createDataFrame(rows, "word string, found boolean, continuations long, near string, distance int")
+
+
+@_query(f"WITH {_LEX} SELECT form, weight FROM lex UNION ALL SELECT 'zz new', 1")
+def lexicon_with_insertion(spark, sf_dir):
+    engine = _lexicon_engine(spark, sf_dir)
+    new, again = engine.insert_in_lexicon(" ZZ New"), engine.insert_in_lexicon("zz new")
+    return engine.lexicon.words.where(F.lit(new and not again)).select("form", "weight")
+
+
+@_query(f"WITH {_VOCAB} SELECT 'the big ' || form AS line FROM (SELECT * FROM vocab WHERE starts_with(key, '{PREFIX}') ORDER BY weight DESC, key, form LIMIT 7) WHERE form <> '{PREFIX}'")
+def last_word_completions(spark, sf_dir):
+    lines = search.Engine(_index(spark, sf_dir)).complete_last_word(f"the big {PREFIX}")
+    return spark.createDataFrame([(x,) for x in lines], "line string")
+
+
 # Raw sequences
 
 _AT = f"hit AS (SELECT doc_id, text, unnest(list_filter(range(1, greatest(length(text) - {len(SEQUENCE)} + 2, 1)), lambda p: substr(lower(text), CAST(p AS INT), {len(SEQUENCE)}) = '{SEQUENCE}')) - 1 AS pos FROM documents)"
@@ -444,6 +519,46 @@ def highlight_prefix(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", highlight.hit_count(highlight.segments(F.col("text"), prefix=PREFIX)).cast("long").alias("hits"))
 
 
+_TRACE = "s AS (SELECT p_partkey AS k, p_name AS t, 0 AS i, 0 AS j FROM part WHERE length(p_name) >= 2 UNION ALL SELECT k, t, CASE WHEN same OR j = 0 THEN i + 1 ELSE i END, CASE WHEN same THEN 1 ELSE 0 END FROM (SELECT *, substr(t, i + 1, 1) = 'l' AS same FROM s WHERE i < length(t)))"
+
+
+@_query(f"WITH RECURSIVE {_TRACE}, c AS (SELECT *, substr(t, i + 1, 1) = 'l' AS same FROM s WHERE i < length(t)) SELECT k, i, j, same AS matched, i - j AS shift, 'compare' AS event FROM c UNION ALL SELECT k, i, j, true, i - j, 'found' FROM c WHERE same AND j = 1 UNION ALL SELECT k, i, 0, false, i, 'slide' FROM c WHERE NOT same AND j = 1 UNION ALL SELECT k, i + 1, 0, false, i + 1, 'advance' FROM c WHERE NOT same AND j = 0")
+def kmp_trace_steps(spark, sf_dir):
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return parts.select(F.col("p_partkey").alias("k"), F.inline(sequence.kmp_trace_of(F.col("p_name"), "ll")))
+
+
+_AHEAD = [f"starts_with(c || n1 || n2 || n3, '{SEQUENCE[:k]}')" for k in (1, 2, 3, 4)]
+
+
+@_query(f"WITH l AS (SELECT doc_id, unnest(cs) AS c, generate_subscripts(cs, 1) AS p FROM (SELECT doc_id, string_split(lower(text), '') AS cs FROM documents)), w AS (SELECT c, lead(c, 1) OVER d AS n1, lead(c, 2) OVER d AS n2, lead(c, 3) OVER d AS n3 FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY p)) SELECT count(*) FILTER ({_AHEAD[3]}) AS occurrences, count(*) + count(*) FILTER ({_AHEAD[0]}) + count(*) FILTER ({_AHEAD[1]}) + count(*) FILTER ({_AHEAD[2]}) AS comparisons FROM w WHERE n3 IS NOT NULL")
+def sequence_totals_naive(spark, sf_dir):
+    return search.sequence_totals(_index(spark, sf_dir), SEQUENCE, method="naive")
+
+
+_MARK = "list_transform({0}, lambda w: length(w) >= 2 AND regexp_matches(w, '^\\p{{L}}') AND starts_with(strip_accents(lower(w)), 'ent'))"
+_CUT = (
+    "x AS (SELECT doc_id, text, regexp_extract_all(text, '\\p{L}+|\\P{L}+') AS ps FROM documents), y AS (SELECT *, list_position(" + _MARK.format("ps") + ", true) AS p FROM x), "
+    "z AS (SELECT doc_id, text, CAST(coalesce(list_sum(list_transform(ps[1:p - 1], lambda q: length(q))), 0) AS BIGINT) AS a0, length(ps[p]) AS n FROM y WHERE p > 0), "
+    "z1 AS (SELECT *, a0 + n AS b0, greatest(a0 - 80, 0) AS e FROM z), z2 AS (SELECT *, CASE WHEN e > 0 AND strpos(substr(text, e + 1), ' ') > 0 THEN e + strpos(substr(text, e + 1), ' ') ELSE e END AS a FROM z1), "
+    "z3 AS (SELECT *, least(length(text), a + 230) AS f FROM z2), z4 AS (SELECT *, CASE WHEN strpos(reverse(substr(text, 1, f + 1)), ' ') > 0 THEN f + 1 - strpos(reverse(substr(text, 1, f + 1)), ' ') ELSE -1 END AS l FROM z3), "
+    "z5 AS (SELECT *, CASE WHEN f < length(text) AND l > b0 THEN l ELSE f END AS b FROM z4), z6 AS (SELECT *, regexp_extract_all(substr(text, a + 1, b - a), '\\p{L}+|\\P{L}+') AS qs FROM z5)"
+)
+
+
+@_query(f"WITH {_CUT} SELECT doc_id, CASE WHEN a > 0 THEN '… ' ELSE '' END || regexp_replace(list_aggregate(list_transform(list_zip(qs, {_MARK.format('qs')}), lambda q: CASE WHEN q[2] THEN '[' || q[1] || ']' ELSE q[1] END), 'string_agg', ''), '\\s', ' ', 'g') || CASE WHEN b < length(text) THEN ' …' ELSE '' END AS excerpt FROM z6")
+def excerpts(spark, sf_dir):
+    cut = highlight.excerpt(F.col("text"), lambda t: highlight.segments(t, prefix=PREFIX))
+    shown = F.array_join(F.transform(cut, lambda s: F.when(s["hit"], F.concat(F.lit("["), s["text"], F.lit("]"))).otherwise(s["text"])), "")
+    return _docs(spark, sf_dir).select("doc_id", shown.alias("excerpt")).where("excerpt is not null")
+
+
+@_query("WITH x AS (SELECT doc_id, regexp_extract_all(text, '\\p{L}+|\\P{L}+') AS ps FROM documents), q AS (SELECT doc_id, unnest(ps) AS w, generate_subscripts(ps, 1) AS i FROM x), r AS (SELECT *, sum(length(w)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM q) SELECT doc_id, CAST(stop - length(w) AS INT) AS start, CAST(stop AS INT) AS stop FROM r WHERE length(w) >= 2 AND regexp_matches(w, '^\\p{L}') AND starts_with(strip_accents(lower(w)), 'ent')")
+def highlight_ranges(spark, sf_dir):
+    found = _docs(spark, sf_dir).select("doc_id", F.explode(highlight.ranges(highlight.segments(F.col("text"), prefix=PREFIX))).alias("r"))
+    return found.select("doc_id", F.col("r.start").alias("start"), F.col("r.end").alias("stop"))
+
+
 # Hash table
 
 _HASH = f"{_VOCAB}, h AS (SELECT form, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(form, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda a, c: (a * 31 + c) % 4294967296) AS hash FROM vocab), cap AS (SELECT CAST(1024 * pow(2, greatest(0, ceil(log2(count(*) / 0.75 / 1024)))) AS BIGINT) AS capacity FROM vocab)"
@@ -469,9 +584,61 @@ def chain_histogram(spark, sf_dir):
     return hashing.chain_histogram(*_keys(spark, sf_dir))
 
 
+CAPACITIES = [512, 1024, 2048, 4096, 8192, 16384, 32768]
+
+
+@_query(f"WITH {_HASH}, b AS (SELECT capacity, hash % capacity AS bucket, count(*) AS chain FROM h, (SELECT CAST(unnest({CAPACITIES}) AS BIGINT) AS capacity) GROUP BY ALL) SELECT capacity, CAST(sum(chain) AS BIGINT) AS keys, round(sum(chain) / capacity, 6) AS load, count(*) AS occupied, CAST(sum(chain) - count(*) AS BIGINT) AS collisions, max(chain) AS longest, round(sum(chain) / count(*), 6) AS mean_chain, round(sum(chain) / capacity / (1 - exp(-sum(chain) / capacity)), 6) AS expected FROM b GROUP BY capacity")
+def hash_capacity_sweep(spark, sf_dir):
+    out = hashing.capacity_sweep(_index(spark, sf_dir).vocabulary.select(F.col("form").alias("key")), CAPACITIES)
+    return out.select("capacity", "keys", F.round("load", 6).alias("load"), "occupied", "collisions", "longest", F.round("mean_chain", 6).alias("mean_chain"), F.round("expected", 6).alias("expected"))
+
+
 # Statistics
 
 
+_OVER = f"{_STEMS}, paths AS (SELECT key, weight, substr(key, 1, CAST(n AS INT)) AS path FROM (SELECT key, weight, unnest(range(0, length(key) + 1)) AS n FROM vocab)), c AS (SELECT (SELECT count(DISTINCT path) FROM paths) AS nodes, (SELECT count(*) + 1 FROM (SELECT path FROM paths WHERE path <> '' GROUP BY path HAVING bool_or(path = key) OR count(DISTINCT nullif(substr(key, length(path) + 1, 1), '')) >= 2)) AS compressed_nodes)"
+
+
+@_query(f"WITH {_OVER} SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM raw) AS raw_tokens, (SELECT count(*) FROM tok) AS kept_tokens, round(1 - (SELECT count(*) FROM tok) / (SELECT count(*) FROM raw), 9) AS reduction, (SELECT count(*) FROM vocab) AS terms, (SELECT count(DISTINCT term) FROM spost) AS stems, (SELECT count(*) FROM spost) AS postings, nodes, compressed_nodes, round(1 - compressed_nodes / nodes, 9) AS saving FROM c")
+def engine_overview(spark, sf_dir):
+    return statistics.overview(_index(spark, sf_dir)).withColumn("reduction", F.round("reduction", 9)).withColumn("saving", F.round("saving", 9))
+
+
+@_query(f"WITH {_LEX} SELECT count(*) AS words, (SELECT count(DISTINCT substr(key, 1, CAST(n AS INT))) FROM (SELECT key, unnest(range(0, length(key) + 1)) AS n FROM lex)) AS nodes, max(length(key)) AS height FROM lex")
+def lexicon_state(spark, sf_dir):
+    return statistics.lexicon_figures(_lexicon(spark, sf_dir)).select("words", "nodes", F.col("height").cast("long").alias("height"))
+
+
+@_query(f"WITH {_TOK} SELECT count(*) AS calls, count(*) - count(DISTINCT term) AS hits, round(1 - count(DISTINCT term) / count(*), 9) AS rate FROM tok")
+def stem_reuse(spark, sf_dir):
+    return statistics.stem_reuse(_index(spark, sf_dir)).withColumn("rate", F.round("rate", 9))
+
+
+@_query(f"WITH {_POST}, {_LEN}, top AS (SELECT max(doc_id) AS m FROM documents), b AS (SELECT m * unnest([1, 2, 3, 4]) // 4 AS bound FROM top) SELECT bound, (SELECT count(*) FROM dl WHERE doc_id <= bound) AS documents, (SELECT CAST(sum(dl) AS BIGINT) FROM dl WHERE doc_id <= bound) AS tokens, (SELECT count(*) FROM post WHERE doc_id <= bound) AS postings, (SELECT count(DISTINCT term) FROM post WHERE doc_id <= bound) AS terms FROM b")
+def index_growth(spark, sf_dir):
+    last = _docs(spark, sf_dir).agg(F.max("doc_id")).first()[0]
+    return statistics.index_growth(_index(spark, sf_dir), [last * n // 4 for n in (1, 2, 3, 4)])
+
+
+_BOUNDS, _PREFIXES = ["d", "m", "s", "zz"], ["ent", "co", "pre", "a"]
+
+
+@_query(f"WITH {_VOCAB}, b AS (SELECT unnest([{_list(_BOUNDS)}]) AS bound), h AS (SELECT bound, (SELECT count(*) FROM vocab WHERE form <= bound) AS n, p, (SELECT count(*) FROM vocab WHERE form <= bound AND starts_with(key, p)) AS found FROM b, (SELECT unnest([{_list(_PREFIXES)}]) AS p)) SELECT bound, max(n) * {len(_PREFIXES)} AS compared, CAST(sum(found) AS BIGINT) AS found, CAST(sum(least(found, 10)) AS BIGINT) AS shown FROM h GROUP BY bound")
+def prefix_growth(spark, sf_dir):
+    return statistics.prefix_growth(_index(spark, sf_dir).vocabulary, _PREFIXES, _BOUNDS)
+
+
+_RANKED = "SELECT term, df, n_docs, dl, row_number() OVER (PARTITION BY term ORDER BY {0} DESC, doc_id) AS r FROM w"
+
+
+@_query(f"WITH {_POST}, {_LEN}, w AS (SELECT p.*, dl, n_docs, ln((n_docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) AS bm, (1 + log10(tf)) * log10(n_docs / df) AS ti FROM (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM post WHERE term IN ({_list(TERMS)})) p JOIN dl USING (doc_id), tot), a AS ({_RANKED.format('bm')}), b AS ({_RANKED.format('ti')}) SELECT term, max(a.df) AS df, round(avg(a.dl), 6) AS bm25_length, (SELECT round(avg(dl), 6) FROM b WHERE b.term = a.term AND r <= 5) AS tfidf_length, bool_or(a.df = n_docs) AS in_all FROM a WHERE r <= 5 GROUP BY term")
+def rank_lengths(spark, sf_dir):
+    out = ranking.compared_lengths(_index(spark, sf_dir), TERMS, 5, stems=False)
+    return out.select("term", "df", F.round("bm25_length", 6).alias("bm25_length"), F.round("tfidf_length", 6).alias("tfidf_length"), "in_all")
+
+
+
+
 @_query("SELECT event_type AS type, count(*) AS questions, round(sum(value), 4) AS seconds, round(avg(value), 6) AS mean FROM events GROUP BY event_type")
 def query_log_summary(spark, sf_dir):
     log = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("type"), F.col("value").alias("seconds"))

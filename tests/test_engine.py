@@ -1,4 +1,5 @@
 import random
+import re
 from pathlib import Path
 
 import pytest
@@ -163,6 +164,44 @@ def test_highlight(spark):
     assert [s["text"] for s in found if s["hit"]] == ["algo", "Algo"] and "".join(s["text"] for s in found) == "Os algoritmos, o Algoritmo."
 
 
+def excerpt_of(content, hits, size=230):
+    """By hand: the text shown for the ranges that light up."""
+    if not hits:
+        return None
+    a = max(0, hits[0][0] - 80)
+    if a:
+        a = content.find(" ", a) + 1 or a
+    b = min(len(content), a + size)
+    if b < len(content) and content.rfind(" ", 0, b + 1) > hits[0][1]:
+        b = content.rfind(" ", 0, b + 1)
+    return ("… " if a else "") + re.sub(r"\s", " ", content[a:b]) + (" …" if b < len(content) else "")
+
+
+def test_excerpts(spark):
+    filler = "palavra outra\n coisa  "
+    texts = ["", "nada", "rede", filler * 9 + "rede " + filler * 20, "x" * 300 + "rede" + "y" * 300, "x" * 300 + " rede" + "y" * 300, filler * 30 + "redes", "rede" + "z" * 400]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for mark, pattern in ((lambda c: highlight.segments(c, prefix="rede"), r"(?<![^\W\d_])rede[^\W\d_]*"), (lambda c: highlight.sequence_segments(c, "rede"), "rede")):
+        shown = [r[0] for r in rows.select(highlight.excerpt(F.col("t"), mark)).collect()]
+        assert [s and "".join(x["text"] for x in s) for s in shown] == [excerpt_of(t, [m.span() for m in re.finditer(pattern, t)]) for t in texts]
+        assert all(any(x["hit"] for x in s) for s in shown if s)
+
+
+def test_composed_spellings(spark):
+    d = dictionary(spark, [("a\u0301rvore", 1), ("árvore", 4), ("ÁRVORE ", 2)])
+    assert [tuple(r) for r in d.words.collect()] == [("árvore", "arvore", 4)]
+
+
+def test_reports(engine, spark, tmp_path):
+    state, report = engine.state(), engine.report()
+    assert state["index"]["documents"] == report["corpus"]["documents"] == len(DOCS) and state["lexicon"]["words"] == engine.lexicon.words.count()
+    assert report["questions"]["total"] == len(engine.log) and report["hash"]["keys"] == report["corpus"]["stems"]
+    saved = index(spark, DOCS, stopwords=STOPWORDS).saved(str(tmp_path / "bare"), contents=False)
+    assert set(saved.seconds) == {"reading", "preprocessing", "dictionary", "index"} and saved.build_seconds == sum(saved.seconds.values()) > 0
+    assert search.sequence_hits(saved, "rede").count() == 0 and saved.lookup("dad").count() == 3
+    assert statistics.median_ms(lambda: None, 3) >= 0
+
+
 def test_encodings(spark, tmp_path):
     for name, raw in {"a.txt": "computação\r\nx\ry".encode("cp1252"), "B.TXT": "﻿computação".encode(), "c.Txt": b"x", "d.md": b"no"}.items():
         (tmp_path / name).write_bytes(raw)

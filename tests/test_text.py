@@ -140,8 +140,25 @@ def test_sequences(spark):
 
 def test_trace(spark):
     rows = sequence.kmp_trace()(F.lit("aab"), F.lit("ab"), F.lit(100)).collect()
-    assert [r["event"] for r in rows] == ["match", "shift", "match", "found"]
-    assert len(sequence.kmp_trace()(F.lit("a" * 50), F.lit("b"), F.lit(7)).collect()) == 7
+    assert [tuple(r) for r in rows] == [(0, 0, True, 0, "compare"), (1, 1, False, 0, "compare"), (1, 0, False, 1, "slide"), (1, 0, True, 1, "compare"), (2, 1, True, 1, "compare"), (2, 1, True, 1, "found")]
+    assert len(sequence.kmp_trace()(F.lit("a" * 50), F.lit("b"), F.lit(7)).collect()) == 8
+    texts = ["aab", "", None, "abab", "b"]
+    assert column(spark, texts, lambda c: F.size(F.filter(sequence.kmp_trace_of(c, "ab"), lambda x: x["event"] == "compare"))) == [kmp(t or "", "ab")[1] for t in texts]
+
+
+def test_names_and_prefixes(spark):
+    assert column(spark, ["Ação", "ﬁle ²", None], text.safe_name) == ["Acao", "file 2", None]
+    assert column(spark, ["rede", "rei", "", "x"], lambda c: text.common_prefix(c, F.lit("redes"))) == [4, 2, 0, 0]
+
+
+def test_hash_map(spark):
+    table = spark.createDataFrame([("a", 1)], "key string, value int")
+    table, new = hashing.put(table, "b", 2)
+    again, known = hashing.put(table, "a", 3)
+    assert new and not known and {(r["key"], r["value"]) for r in again.collect()} == {("a", 3), ("b", 2)}
+    assert hashing.found(again, "a").first()[0] == 3 and hashing.found(again, "c").count() == 0
+    sweep = {r["capacity"]: r for r in hashing.capacity_sweep(again, [1, 64]).collect()}
+    assert (sweep[1]["collisions"], sweep[1]["longest"], sweep[64]["collisions"]) == (1, 2, 0)
 
 
 @settings(max_examples=200, deadline=None)
