@@ -11,7 +11,8 @@
    of over 48 words are searched by pieces. What the cosine passes over is found by
    the words themselves: a stretch that holds ``common`` of an item's n words also holds all but (1 - ``common``) x n
    of any of them, so of its rarest words a known number stands close together (``anchored``). That loses nothing
-   that the check lets through, whatever the words beside it.
+   that the check lets through, whatever the words beside it; so of the windows that the cosine finds only those are
+   checked around which these words stand.
 3. Check. The longest common subsequence of the item and the text around the window (1.5 times the item's length)
    must cover ``common`` of the item, and that with its answer (the last sentence, or the last quarter if it has just
    one) ``answer`` of the answer, which lets paraphrases through that change some words.
@@ -44,6 +45,8 @@ _LEAKS_SQL = "doc_id long, item_id long, cosine double, common double, answer do
 _SLOTS = 20
 _SLICE = 2_000_000
 _LIKE = 10_000_000  # cosines at a time
+_NEAR = 1024  # rows at a time that stay in the processor's cache
+_ANCHORS = 1_000_000  # rare words at a time
 CLOSE = 0.25  # of an item's words, how many rare ones must stand close together
 
 
@@ -98,8 +101,19 @@ def blocks_of(counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np
 def block_sums(number: np.ndarray, start: np.ndarray, end: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """For each block of words the sum of their rows; the last of ``rows`` is for words without a number."""
     out = np.zeros((len(start), rows.shape[1]), dtype=np.float32)
-    for k in range(BLOCK):
-        out += rows[np.where(start + k < end, number[np.minimum(start + k, len(number) - 1)], -1)]
+    for a in range(0, len(start), _NEAR):
+        own, s, e = out[a : a + _NEAR], start[a : a + _NEAR], end[a : a + _NEAR]
+        for k in range(BLOCK):
+            own += rows.take(np.where(s + k < e, number[np.minimum(s + k, len(number) - 1)], -1), axis=0)
+    return out
+
+
+def doubled(sums: np.ndarray, size: int, last: np.ndarray) -> np.ndarray:
+    """Sums of twice as many blocks from those of ``size`` blocks from each block on, as far as its text, which ends before ``last``, goes."""
+    out = sums.copy()
+    out[:-size] += sums[size:]
+    short = np.flatnonzero(np.arange(len(sums)) + size >= last)
+    out[short] = sums[short]
     return out
 
 
@@ -118,8 +132,13 @@ def gathered(items: Items, texts: pa.Array, span: int, omega: np.ndarray) -> tup
     norm = np.sqrt(np.bincount(passage, weights=times.astype(float) ** 2, minlength=int(first[-1])))
     inner, a, b = blocks_of(counts, BLOCK)
     sums = block_sums(number, a, b, omega)
-    y = np.add.reduceat(sums, np.searchsorted(a, start), axis=0) / np.maximum(norm, 1)[:, None]
-    y = np.ascontiguousarray(y.T)
+    low = np.searchsorted(a, start)
+    high = np.append(low[1:], len(a))
+    y = sums[low]
+    for k in range(1, -(-span // BLOCK)):
+        more = np.flatnonzero(low + k < high)
+        y[more] += sums[low[more] + k]
+    y = np.ascontiguousarray((y / np.maximum(norm, 1)[:, None]).T)
     value = times / norm[passage]
     return int(first[-1]), np.bincount(word, minlength=n).astype(float), np.stack([np.bincount(word, weights=y[j][passage] * value, minlength=n) for j in range(RANK)])
 
@@ -167,7 +186,7 @@ class Space:
         good = sigma > sigma.max(initial=0) * 1e-4
         self.project = (self.idf[:, None] * q[:, good] / sigma[good]).astype(np.float32) if good.any() else np.diag(self.idf).astype(np.float32)[:, :RANK]
         # a row for each word, the last one for others; its last column is the weight
-        self.rows = np.vstack([np.column_stack([self.project, self.idf]), np.zeros(self.project.shape[1] + 1)]).astype(np.float32)
+        self.rows = np.vstack([np.column_stack([self.project, self.idf]), np.zeros(self.project.shape[1] + 1)]).astype(np.float32, order="C")
         # the item pieces of each scale, unit length; their items; the least weight
         self.scales = []
         self.units: list[np.ndarray] = []
@@ -190,6 +209,7 @@ class Space:
         # bit i of masks[item, word]: the item's i-th word is this one; no bits for words that the benchmark hasn't
         self.masks = np.zeros((len(items.items), n + 1), dtype=np.uint64)
         self.long: dict[int, dict[int, int]] = {}
+        self.rare: dict[float, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for k, (_, words, _) in enumerate(items.items):
             if len(words) <= 64:
                 np.bitwise_or.at(self.masks[k], words, np.uint64(1) << np.arange(len(words), dtype=np.uint64))
@@ -203,34 +223,37 @@ class Space:
         first, begin, end = blocks_of(counts, BLOCK)
         if not len(begin):
             return
-        sums = block_sums(number, begin, end, self.rows)
-        total = np.zeros((len(begin) + 1, sums.shape[1] - 1))
-        np.cumsum(sums[:, :-1], axis=0, out=total[1:])
-        weight = np.concatenate([[0.0], np.cumsum(sums[:, -1], dtype=np.float64)])
+        sums, size = block_sums(number, begin, end, self.rows), 1
         each = np.diff(first)
         owner = np.repeat(np.arange(len(each)), each)
         last = first[1:][owner]
         for blocks, step, of, unit, least in self.scales:
-            start = np.flatnonzero((np.arange(int(first[-1])) - first[:-1][owner]) % step == 0)
-            end = np.minimum(start + blocks, last[start])
-            heavy = weight[end] - weight[start] >= least
-            start, end = start[heavy], end[heavy]
-            many = max(256, _LIKE // len(of))
+            while size < blocks:
+                sums, size = doubled(sums, size, last), 2 * size
+            start = np.flatnonzero(((np.arange(int(first[-1])) - first[:-1][owner]) % step == 0) & (sums[:, -1] >= least))
+            unit = np.ascontiguousarray(unit.T, dtype=np.float32)
+            many, few = max(256, _LIKE // len(of)), max(256, _NEAR * 256 // len(of))
             for a in range(0, len(start), many):
-                s, e = start[a : a + many], end[a : a + many]
-                v = (total[e] - total[s]).astype(np.float32)
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-                like = v @ unit.T
-                w, p = np.nonzero(like >= cosine)
-                t = owner[s[w]]
-                from_word = counts[t] + (s[w] - first[t]) * BLOCK
-                yield t, of[p], from_word, np.minimum(from_word + blocks * BLOCK, counts[t + 1]), like[w, p].astype(np.float64)
+                found = []
+                for b in range(a, min(a + many, len(start)), few):
+                    v = sums[start[b : min(b + few, a + many)], :-1]
+                    norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), np.float32(1e-12))
+                    like = v @ unit
+                    at = np.flatnonzero(like >= np.float32(cosine) * norm[:, None])
+                    w, p = np.divmod(at, len(of))
+                    found.append((start[b + w], p, like.ravel()[at] / norm[w]))
+                s, p, like = (np.concatenate(c) for c in zip(*found, strict=True))
+                t = owner[s]
+                from_word = counts[t] + (s - first[t]) * BLOCK
+                yield t, of[p], from_word, np.minimum(from_word + blocks * BLOCK, counts[t + 1]), like.astype(np.float64)
 
     def anchors(self, common: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first entry of each vocabulary number and of the end, items of the entries, least entries that a stretch must hold of each item).
 
         Of an item's n words a stretch must hold m = ``common`` x n. So of its n - m + t rarest it holds at least t.
         """
+        if common in self.rare:
+            return self.rare[common]
         least, word, item = np.zeros(len(self.lengths), dtype=np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k, (_, words, _) in enumerate(self.items.items):
             n = len(words)
@@ -241,38 +264,38 @@ class Space:
             item.append(np.full(len(rare), k))
         word, item = np.concatenate(word), np.concatenate(item)
         order = np.argsort(word, kind="stable")
-        return np.searchsorted(word[order], np.arange(len(self.items.vocabulary) + 1)), item[order], least
-
-    def anchored(self, number: np.ndarray, counts: np.ndarray, common: float) -> Iterator[tuple[np.ndarray, ...]]:
-        """Arrays (text, item, first and end of the words): where enough rare words of an item stand within one and a half times its length."""
-        first, of, least = self.anchors(common)
+        self.rare[common] = np.searchsorted(word[order], np.arange(len(self.items.vocabulary) + 1)), item[order], least
+        return self.rare[common]
+
+    def groups(self, number: np.ndarray, counts: np.ndarray, anchors: tuple[np.ndarray, ...]) -> Iterator[tuple[int, int]]:
+        """The texts in groups (first, end) with about ``_ANCHORS`` rare words, a text at least."""
+        times = np.append(np.diff(anchors[0]), 0)[number]
+        before = np.concatenate([[0], np.cumsum(times)])[counts]
+        a = 0
+        while a < len(counts) - 1:
+            b = max(a + 1, int(np.searchsorted(before, before[a] + _ANCHORS, side="right")) - 1)
+            yield a, b
+            a = b
+
+    def anchored(self, number: np.ndarray, counts: np.ndarray, anchors: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        """Arrays (text, item, first and end of the words), by item and first word: where enough rare words of an item stand within one and a half times its length."""
+        first, of, least = anchors
         known = np.flatnonzero(number >= 0)
-        times = first[number[known] + 1] - first[number[known]]
-        ends = np.cumsum(times)
-        # whole texts at a time
-        texts, cuts = len(counts) - 1, [0]
-        before = np.concatenate([[0], ends])[np.searchsorted(known, counts)]
-        while cuts[-1] < texts:
-            cuts.append(max(cuts[-1] + 1, int(np.searchsorted(before, before[cuts[-1]] + 1_000_000, side="right")) - 1))
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            low, high = np.searchsorted(known, counts[[a, b]])
-            each = times[low:high]
-            total = int(each.sum())
-            if not total:
-                continue
-            at = np.repeat(known[low:high], each)
-            item = of[np.repeat(first[number[known[low:high]]] - (np.cumsum(each) - each), each) + np.arange(total)]
-            text = np.searchsorted(counts, at, side="right") - 1
-            order = np.argsort(item.astype(np.int32), kind="stable")  # texts and words of an item stay in order
-            at, item, text = at[order], item[order], text[order]
-            last = np.arange(total) + least[item] - 1
-            inside = np.flatnonzero(last < total)
-            end = last[inside]
-            good = (item[end] == item[inside]) & (text[end] == text[inside]) & (at[end] - at[inside] < self.lengths[item[inside]] + self.lengths[item[inside]] // 2)
-            inside, end = inside[good], end[good]
-            for c in range(0, len(inside), 100_000):
-                i, e = inside[c : c + 100_000], end[c : c + 100_000]
-                yield text[i], item[i], at[i], at[e] + 1
+        each = first[number[known] + 1] - first[number[known]]
+        total = int(each.sum())
+        at = np.repeat(known, each)
+        item = of[np.repeat(first[number[known]] - (np.cumsum(each) - each), each) + np.arange(total)]
+        order = np.argsort(item.astype(np.min_scalar_type(len(least))), kind="stable")  # texts and words of an item stay in order
+        at, item = at[order], item[order]
+        last = np.arange(total) + least[item] - 1
+        inside = np.flatnonzero(last < total)
+        end = last[inside]
+        good = (item[end] == item[inside]) & (at[end] - at[inside] < (self.lengths + self.lengths // 2)[item[inside]])
+        inside, end = inside[good], end[good]
+        text = np.searchsorted(counts, at[inside], side="right") - 1
+        same = at[end] < counts[text + 1]
+        inside, end, text = inside[same], end[same], text[same]
+        return text, item[inside], at[inside], at[end] + 1
 
     def present(self, item: np.ndarray, number: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Share of the items' words that stretches of words hold at all: no subsequence in common can be longer."""
@@ -317,6 +340,15 @@ def leaks_of(space: Space, texts: pa.Array, cosine: float, common: float, answer
     words, counts = word_hashes(texts)
     number = space.items.numbers(words)
     out: dict[tuple[int, int], tuple[float, float, float]] = {}
+    for a, b in space.groups(number, counts, space.anchors(common)):
+        for (text, item), got in leaks_among(space, number[counts[a] : counts[b]], counts[a : b + 1] - counts[a], cosine, common, answer).items():
+            out[a + text, item] = got
+    return out
+
+
+def leaks_among(space: Space, number: np.ndarray, counts: np.ndarray, cosine: float, common: float, answer: float) -> dict[tuple[int, int], tuple[float, float, float]]:
+    """``leaks_of`` for the vocabulary numbers of some texts' words, and the words before each text and in all."""
+    out: dict[tuple[int, int], tuple[float, float, float]] = {}
 
     def grid(text: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray, like: np.ndarray) -> tuple[np.ndarray, ...]:
         """(text, item, first word, end, cosine) of stretches of one and a half times the item, at steps low to high of a quarter of the item, each once."""
@@ -344,16 +376,29 @@ def leaks_of(space: Space, texts: pa.Array, cosine: float, common: float, answer
             if key not in out or got > out[key]:
                 out[key] = got
 
+    rare = space.anchored(number, counts, space.anchors(common))
+    width = len(number) + 1
+    place = rare[1] * width + rare[2]
+
+    def anchor_in(item: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether enough rare words of the items stand close together in stretches of words; what passes the check has them."""
+        if not len(place):
+            return np.zeros(len(item), dtype=bool)
+        at = np.minimum(np.searchsorted(place, item * width + start), len(place) - 1)  # the first from the start on ends first
+        return (rare[1][at] == item) & (rare[2][at] >= start) & (rare[3][at] <= end)
+
     for text, item, a, b, like in space.candidates(number, counts, cosine):
-        around = space.lengths[item] // 2
-        held = space.present(item, number, np.maximum(a - around, counts[text]), np.minimum(b + around, counts[text + 1])) >= common
-        text, item, a, b, like = text[held], item[held], a[held], b[held], like[held]
         n = space.lengths[item]
         step = np.maximum(1, n // 4)
         low = np.maximum(a - n // 2 - counts[text], 0) // step
-        high = np.maximum(np.minimum(b + n // 2, counts[text + 1]) - counts[text] - n, 0) // step
-        checked(*grid(text, item, low, high, like))
-    for text, item, a, b in space.anchored(number, counts, common):
+        high = np.maximum(np.maximum(np.minimum(b + n // 2, counts[text + 1]) - counts[text] - n, 0) // step, low)
+        some = np.flatnonzero(anchor_in(item, counts[text] + low * step, np.minimum(counts[text] + high * step + n + n // 2, counts[text + 1])))
+        text, item, a, b, like, low, high = (x[some] for x in (text, item, a, b, like, low, high))
+        around = space.lengths[item] // 2
+        held = space.present(item, number, np.maximum(a - around, counts[text]), np.minimum(b + around, counts[text + 1])) >= common
+        checked(*grid(text[held], item[held], low[held], high[held], like[held]))
+    for c in range(0, len(place), 100_000):
+        text, item, a, b = (x[c : c + 100_000] for x in rare)
         n = space.lengths[item]
         step = np.maximum(1, n // 4)
         # the stretches with all of the words

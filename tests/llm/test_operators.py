@@ -662,6 +662,51 @@ def test_leaks_beside_stuttered_words(spark):
     assert all(-1.001 <= r["cosine"] <= 1.001 for r in got)
 
 
+def test_leak_search_work():
+    """The cosines are those of the windows' own words; few of the windows that look like an item are walked word by word; groups of texts change nothing."""
+    rng = random.Random(13)
+    common = [f"c{i}" for i in range(30)]
+    items = [(i, " ".join(rng.choice(common) if rng.random() < 0.5 else f"w{rng.randrange(400)}" for _ in range(rng.choice([9, 20, 44, 70]))) + f". The answer is x{i}") for i in range(20)]
+    texts = [" ".join(rng.choice(common) if rng.random() < 0.7 else f"w{rng.randrange(4000)}" for _ in range(rng.choice([0, 3, 8, 17, 63, 64, 200, 500]))) for _ in range(150)]
+    texts[5:25] = [f"{texts[i]} {item} {texts[i + 1]}" for i, (_, item) in enumerate(items)]
+    column = pa.array(texts)
+    known = decontaminate.Items(items)
+    omega = np.vstack([decontaminate.random_matrix(len(known.vocabulary)), np.zeros(decontaminate.RANK)])
+    passages, frequency, z = decontaminate.gathered(known, column, 64, omega)
+    space = decontaminate.Space(known, passages, frequency, z.T)
+    hashed, counts = near_dedup.word_hashes(column)
+    number = known.numbers(hashed)
+    like, n_candidates, n_batches = {}, 0, 0
+    for batch in space.candidates(number, counts, 0.1):
+        n_candidates, n_batches = n_candidates + len(batch[0]), n_batches + 1
+        for text, item, a, b, cosine in zip(*(c.tolist() for c in batch), strict=True):
+            like[text, item, a, b] = max(cosine, like.get((text, item, a, b), -1))
+    for blocks, step, of, unit, least in space.scales:
+        for text in range(len(texts)):
+            for a in range(counts[text], counts[text + 1], step * decontaminate.BLOCK):
+                b = min(a + blocks * decontaminate.BLOCK, counts[text + 1])
+                total = space.rows[number[a:b]].sum(axis=0, dtype=float)
+                cosines = unit @ total[:-1] / max(np.linalg.norm(total[:-1]), 1e-12)
+                for k in np.flatnonzero((cosines >= 0.101) & (total[-1] >= least * 1.001)):
+                    assert like[text, int(of[k]), a, b] >= cosines[k] - 1e-4
+    walked = []
+
+    class Counted(decontaminate.Space):
+        def present(self, item, *rest):
+            walked.append(len(item))
+            return super().present(item, *rest)
+
+    space.__class__ = Counted
+    found = decontaminate.leaks_of(space, column, 0.1, 0.6, 0.5)
+    assert {(5 + i, i) for i in range(20)} <= set(found)
+    assert set(found) == {(t, i) for t, i in brute_leaks(list(enumerate(texts)), items)}
+    assert n_candidates > 1000 and sum(walked[:n_batches]) < n_candidates / 2
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(decontaminate, "_ANCHORS", 40, raising=False)
+        again = decontaminate.leaks_of(space, column, 0.1, 0.6, 0.5)
+    assert again.keys() == found.keys() and all(again[k] == pytest.approx(found[k], abs=1e-5) for k in found)
+
+
 # Fingerprints
 
 
